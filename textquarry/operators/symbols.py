@@ -196,6 +196,11 @@ def _scoped(found: Column, language: str) -> Column:
     )
 
 
+def _file_symbols(language: str) -> Column:
+    marked = F.transform(lines("text"), lambda x, i: _line_symbol(language, x, i + 1))
+    return F.filter(marked, lambda s: s.isNotNull())
+
+
 def extract_symbols(
     files: DataFrame, keys: tuple[str, ...] = ("doc_id",), language: Column | None = None
 ) -> DataFrame:
@@ -206,11 +211,7 @@ def extract_symbols(
     lang = paths.language_of("path") if language is None else language
     per_language = None
     for name in RULES:
-        numbered = F.filter(
-            F.transform(lines("text"), lambda x, i, n=name: _line_symbol(n, x, i + 1)),
-            lambda s: s.isNotNull(),
-        )
-        value = _scoped(numbered, name)
+        value = _scoped(_file_symbols(name), name)
         test = lang == name
         per_language = (
             F.when(test, value) if per_language is None else per_language.when(test, value)
@@ -225,19 +226,17 @@ def html_symbols(
     pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html"
 ) -> DataFrame:
     """(keys..., kind, ordinal, name): titles, headings, anchors, ids and script variables."""
-    found = F.concat(
-        *[
-            F.transform(
-                F.regexp_extract_all(F.col(html), F.lit(regex), F.lit(1)),
-                lambda x, i, k=kind: F.struct(
-                    F.lit(k).alias("kind"),
-                    (i + 1).alias("ordinal"),
-                    F.trim(F.regexp_replace(x, r"<[^>]*>", "")).alias("name"),
-                ),
-            )
-            for kind, regex in HTML_RULES
-        ]
-    )
+    def matches(kind: str, regex: str) -> Column:
+        return F.transform(
+            F.regexp_extract_all(F.col(html), F.lit(regex), F.lit(1)),
+            lambda x, i: F.struct(
+                F.lit(kind).alias("kind"),
+                (i + 1).alias("ordinal"),
+                F.trim(F.regexp_replace(x, r"<[^>]*>", "")).alias("name"),
+            ),
+        )
+
+    found = F.concat(*[matches(kind, regex) for kind, regex in HTML_RULES])
     return (
         pages.select(*keys, F.explode(found).alias("s"))
         .select(*keys, "s.kind", "s.ordinal", "s.name")
