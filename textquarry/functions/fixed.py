@@ -154,7 +154,4 @@ MIN_DISTANCE = 1e-6
 
 # Characters that end a line / count as whitespace in text (regex class bodies).
 LINE_BREAK_CHARS = r"\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}"
-SPACE_CHARS = (
-    r"\t\n\x0B\x0C\r\x1C-\x1F \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
-    r"\x{202F}\x{205F}\x{3000}"
-)
+SPACE_CHARS = r"\p{IsWhite_Space}\x1C-\x1F"

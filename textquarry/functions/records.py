@@ -13,6 +13,7 @@ from . import fixed
 from .basics import ColumnOrName, col, let
 from .text import lines, strip
 
+_EMPTY_VALUE = r"\A(?:\[\]|\{\}|false|0|0\.0|null)?\z"
 _NOTEBOOK = "struct<cells:array<struct<cell_type:string,source:string>>>"
 
 
@@ -57,18 +58,16 @@ def canonical_record(line: ColumnOrName, include_solution: Column | bool = True)
     keep_solution = F.lit(include_solution) if isinstance(include_solution, bool) else include_solution
 
     def build(m: Column) -> Column:
-        def value(key: str) -> Column:
-            v = m[key]
-            return F.when(~v.isin("", "[]", "{}", "false", "0", "0.0", "null"), v)
+        def first(keys) -> Column:
+            named = F.transform(F.split(F.lit(",".join(keys)), ","), lambda k: F.try_element_at(m, k))
+            kept = F.filter(named, lambda v: v.isNotNull() & ~F.rlike(v, F.lit(_EMPTY_VALUE)))
+            return F.try_element_at(kept, F.lit(1))
 
         def joined(v: Column) -> Column:
             items = F.from_json(v, "array<string>")
             is_list = F.startswith(v, F.lit("[")) & items.isNotNull()
             return F.when(is_list, F.array_join(items, "\n")).otherwise(v)
 
-        def first(keys) -> Column:
-            return F.coalesce(*[value(k) for k in keys])
-
         parts = F.array_compact(
             F.array(
                 joined(first(fixed.RECORD_MAIN_FIELDS)),

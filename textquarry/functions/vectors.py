@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,16 +48,18 @@ def mean_of(vector: ColumnOrName, dim: int) -> Column:
 def hashing_embedder(dim: int = fixed.VECTOR_DIM, unit: bool = True) -> EmbedFn:
     """Deterministic bag-of-words embedding by feature hashing, L2-normalised on demand."""
 
+    @lru_cache(maxsize=1 << 18)
+    def signed_slot(word: str) -> int:
+        """Slot of a word, mirrored into the second half for a negative sign."""
+        h = hashlib.md5(word.encode()).hexdigest()
+        return int(h[:8], 16) % dim + (dim if int(h[8], 16) % 2 else 0)
+
     def embed(texts: list[str]) -> np.ndarray:
-        slots: dict[str, tuple[int, float]] = {}
         out = np.zeros((len(texts), dim))
         for row, text in enumerate(texts):
-            for word in _WORD.findall(text.lower()):
-                if word not in slots:
-                    h = hashlib.md5(word.encode()).hexdigest()
-                    slots[word] = int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0
-                slot, sign = slots[word]
-                out[row, slot] += sign
+            slots = [signed_slot(w) for w in _WORD.findall(text.lower())]
+            counts = np.bincount(np.array(slots, dtype="int64"), minlength=2 * dim)
+            out[row] = counts[:dim] - counts[dim:]
         if unit:
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             out /= np.where(norms == 0, 1.0, norms)

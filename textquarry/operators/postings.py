@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import trigrams
 
@@ -37,48 +38,49 @@ def _packed_grams(text: str) -> np.ndarray:
     return np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])
 
 
-def gram_pairs(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Distinct (keys..., gram) of every document.
+def gram_sets(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys..., grams): the distinct grams of every document; documents without any drop out.
 
-    Grams are distinct within a document, so with one row per document nothing has to be
-    shuffled. Text is lower-cased in the JVM (the same ``lower`` that the search recheck
-    uses) and cut in Arrow batches with array arithmetic.
+    Text is lower-cased in the JVM (the same ``lower`` that the search recheck uses) and cut
+    in Arrow batches with array arithmetic. Nothing is shuffled.
     """
     lowered = docs.select(*keys, F.lower(F.col(text)).alias("__text"))
-    schema = docs.select(*keys).schema.add("gram", "string")
+    schema = docs.select(*keys).schema.add("grams", T.ArrayType(T.StringType()))
     n_keys = len(keys)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams: list[np.ndarray] = []
+            found: list[np.ndarray] = []
             rows: list[int] = []
             held = 0
 
             def flush():
-                counts = np.array([len(g) for g in grams])
-                index = pa.array(np.repeat(np.array(rows), counts))
+                ends = np.cumsum([0, *map(len, found)]).astype("int32")
+                lists = pa.ListArray.from_arrays(ends, _gram_strings(np.concatenate(found)))
+                index = pa.array(rows, pa.int32())
                 columns = [batch.column(i).take(index) for i in range(n_keys)]
-                return pa.RecordBatch.from_arrays(
-                    [*columns, _gram_strings(np.concatenate(grams))], [*keys, "gram"]
-                )
-
-            for row, text_value in enumerate(batch.column(n_keys).to_pylist()):
-                if text_value is None:
-                    continue
-                found = _packed_grams(text_value)
-                if len(found):
-                    grams.append(found)
+                return pa.RecordBatch.from_arrays([*columns, lists], [*keys, "grams"])
+
+            for row, value in enumerate(batch.column(n_keys).to_pylist()):
+                grams = _packed_grams(value or "")
+                if len(grams):
+                    found.append(grams)
                     rows.append(row)
-                    held += len(found)
+                    held += len(grams)
                 if held >= _FLUSH:
                     yield flush()
-                    grams, rows, held = [], [], 0
+                    found, rows, held = [], [], 0
             if held:
                 yield flush()
 
     return lowered.mapInArrow(cut, schema)
 
 
+def gram_pairs(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Distinct (keys..., gram) of every document, in long form."""
+    return gram_sets(docs, text, keys).select(*keys, F.explode("grams").alias("gram"))
+
+
 def doc_grams(docs: DataFrame, text: str = "text") -> DataFrame:
     """Forward form: each document with its array of grams (short texts)."""
     return docs.select("doc_id", F.array_sort(trigrams(text)).alias("grams"))
@@ -135,9 +137,12 @@ def remove_docs(pairs: DataFrame, doc_ids: DataFrame) -> DataFrame:
     return pairs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-def stale_grams(old_pairs: DataFrame, new_pairs: DataFrame) -> DataFrame:
-    """Pairs that a document had before and has no longer."""
-    return old_pairs.join(new_pairs, ["doc_id", "gram"], "left_anti")
+def stale_grams(old_sets: DataFrame, new_sets: DataFrame) -> DataFrame:
+    """(doc_id, gram) pairs that a document had before and has no longer, from the gram sets
+    of its old and new text (no new set: the document is gone)."""
+    new = new_sets.select("doc_id", F.col("grams").alias("__now"))
+    lost = F.when(F.col("__now").isNull(), F.col("grams")).otherwise(F.array_except("grams", "__now"))
+    return old_sets.join(new, "doc_id", "left").select("doc_id", F.explode(lost).alias("gram"))
 
 
 def empty_postings(pairs: DataFrame) -> DataFrame:

@@ -119,31 +119,35 @@ HTML_RULES = (
     ("variable", r"(?is)[\s;>{(](?:var|let|const)\s+([a-z_$][\w$]*)\s*="),
 )
 
-_SYMBOL = "struct<line:int,name:string,kind:string,signature:string,indent:int,opens:boolean>"
+_FOUND = "array<struct<line:int,name:string,kind:string,signature:string,indent:int,opens:boolean>>"
 
 
-def _line_symbol(language: str, line: Column, number: Column) -> Column:
-    """The symbol a line defines, or null."""
-    depth = F.length(F.regexp_extract(line, r"^([ \t]*)", 1))
-    level = F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))
-    chain = None
+def _found_sql(language: str, lines_column: str) -> str:
+    """SQL for the symbols that the lines of one file define, in line order.
+
+    The many rules are put together as one SQL text, which is far quicker to hand over to
+    the JVM than a Column object per step.
+    """
+    indent = (
+        r"length(regexp_extract(x, r'^(#{1,6})\s', 1))"
+        if language == "markdown"
+        else r"length(regexp_extract(x, r'^([ \t]*)', 1))"
+    )
+    cases = []
     for rule in RULES[language]:
+        regex = "r'" + rule.regex.replace("'", r"\x27") + "'"
         has_signature = re.compile(rule.regex).groups > 1
-        signature = F.regexp_extract(line, rule.regex, 2) if has_signature else F.lit("")
-        found = F.struct(
-            number.cast("int").alias("line"),
-            F.regexp_extract(line, rule.regex, 1).alias("name"),
-            F.lit(rule.kind).alias("kind"),
-            F.when(signature != "", signature).alias("signature"),
-            (level if language == "markdown" else depth).cast("int").alias("indent"),
-            F.lit(rule.opens_scope).alias("opens"),
-        ).cast(_SYMBOL)
-        hit = F.rlike(line, F.lit(rule.regex))
-        chain = F.when(hit, found) if chain is None else chain.when(hit, found)
-    return chain
-
-
-def _scoped(found: Column, language: str) -> Column:
+        signature = f"nullif(regexp_extract(x, {regex}, 2), '')" if has_signature else "NULL"
+        cases.append(
+            f"WHEN x RLIKE {regex} THEN named_struct('line', i + 1, 'name', "
+            f"regexp_extract(x, {regex}, 1), 'kind', '{rule.kind}', 'signature', {signature}, "
+            f"'indent', {indent}, 'opens', {str(rule.opens_scope).lower()})"
+        )
+    marked = f"transform({lines_column}, (x, i) -> CASE {' '.join(cases)} END)"
+    return f"CAST(filter({marked}, s -> s IS NOT NULL) AS {_FOUND})"
+
+
+def _scoped(found: Column, language: Column) -> Column:
     """Add scopes: the nearest earlier scope-opening symbol with a smaller indent.
 
     Runs over the symbols of one file in line order with a stack of open scopes.
@@ -151,54 +155,37 @@ def _scoped(found: Column, language: str) -> Column:
     out_type = "array<struct<line:int,name:string,kind:string,signature:string,scope:string>>"
     stack_type = "array<struct<indent:int,name:string,kind:string>>"
 
-    def step(acc: Column, s: Column) -> Column:
-        open_now = F.filter(acc["stack"], lambda x: x["indent"] < s["indent"])
-        return let(
-            open_now,
-            lambda st: F.struct(
-                F.when(
-                    s["opens"],
-                    F.array_append(
-                        st,
-                        F.struct(
-                            s["indent"].alias("indent"), s["name"].alias("name"), s["kind"].alias("kind")
-                        ),
-                    ),
-                )
-                .otherwise(st)
-                .alias("stack"),
-                F.array_append(acc["out"], placed(st, s)).alias("out"),
-            ),
+    def placed(stack: Column, s: Column) -> Column:
+        parent = F.try_element_at(stack, F.lit(-1))["kind"]
+        kind = (
+            F.when(s["kind"] != "function", s["kind"])
+            .when((language == "python") & (parent == "class"), "member")
+            .when((language == "rust") & parent.isin("implementation", "interface"), "method")
+            .otherwise(s["kind"])
         )
-
-    def placed(st: Column, s: Column) -> Column:
-        parent = F.try_element_at(st, F.lit(-1))
-        names = F.array_join(F.transform(st, lambda x: x["name"]), ".")
-        kind = s["kind"]
-        if language == "python":
-            kind = F.when((kind == "function") & (parent["kind"] == "class"), "member").otherwise(kind)
-        elif language == "rust":
-            inside = parent["kind"].isin("implementation", "interface")
-            kind = F.when((kind == "function") & inside, "method").otherwise(kind)
+        names = F.array_join(F.transform(stack, lambda x: x["name"]), ".")
         return F.struct(
             s["line"].alias("line"),
             s["name"].alias("name"),
             kind.alias("kind"),
             s["signature"].alias("signature"),
-            F.when(F.size(st) > 0, names).alias("scope"),
+            F.when(F.size(stack) > 0, names).alias("scope"),
         )
 
-    return F.aggregate(
-        found,
-        F.struct(F.array().cast(stack_type).alias("stack"), F.array().cast(out_type).alias("out")),
-        step,
-        lambda acc: acc["out"],
-    )
-
+    def step(acc: Column, s: Column) -> Column:
+        here = F.struct(*[s[c].alias(c) for c in ("indent", "name", "kind")])
+        return let(
+            F.filter(acc["stack"], lambda x: x["indent"] < s["indent"]),
+            lambda stack: F.struct(
+                F.when(s["opens"], F.array_append(stack, here)).otherwise(stack).alias("stack"),
+                F.array_append(acc["out"], placed(stack, s)).alias("out"),
+            ),
+        )
 
-def _file_symbols(language: str) -> Column:
-    marked = F.transform(lines("text"), lambda x, i: _line_symbol(language, x, i + 1))
-    return F.filter(marked, lambda s: s.isNotNull())
+    start = F.struct(
+        F.array().cast(stack_type).alias("stack"), F.array().cast(out_type).alias("out")
+    )
+    return F.aggregate(found, start, step, lambda acc: acc["out"])
 
 
 def extract_symbols(
@@ -209,16 +196,15 @@ def extract_symbols(
     All rules run inside the file's row, so only symbols, never lines, leave it.
     """
     lang = paths.language_of("path") if language is None else language
-    per_language = None
-    for name in RULES:
-        value = _scoped(_file_symbols(name), name)
-        test = lang == name
-        per_language = (
-            F.when(test, value) if per_language is None else per_language.when(test, value)
-        )
-    kept = files.where(lang.isin(*RULES))
-    return kept.select(*keys, F.explode(per_language).alias("s")).select(
-        *keys, "s.name", "s.kind", "s.line", "s.signature", "s.scope"
+    by_language = " ".join(f"WHEN '{n}' THEN {_found_sql(n, '__lines')}" for n in RULES)
+    return (
+        files.select(*keys, lang.alias("__lang"), "text")
+        .where(F.col("__lang").isin(*RULES))
+        .select(*keys, "__lang", lines("text").alias("__lines"))
+        .select(*keys, "__lang", F.expr(f"CASE __lang {by_language} END").alias("__found"))
+        .where(F.size("__found") > 0)
+        .select(*keys, F.explode(_scoped(F.col("__found"), F.col("__lang"))).alias("s"))
+        .select(*keys, "s.name", "s.kind", "s.line", "s.signature", "s.scope")
     )
 
 

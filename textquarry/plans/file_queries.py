@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import fixed, paths, redact
 from ..functions.classify import classify
 from ..functions.text import content_hash
+from ..functions.text import lines as text_lines
 from ..operators import files as ops
 from ..operators import ignore, postings, reports, symbols
 from ..session import shared_folder
 from ..sources import tables, tree
 from ..sources.store import Store
 from .index import apply_changes, index_repositories
-from .registry import FILES, grams_of, head_bytes, query
+from .registry import FILES, each_line, grams_of, head_bytes, lines_of, query, stripped
 
 _EXT = r"lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\.[^.]+)$', 1))"
 
@@ -414,22 +415,55 @@ def list_symbols(spark, folder):
 
 @query(
     "markdown_symbols",
-    rf"""WITH {FILES}, l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n
-  FROM files WHERE path LIKE '%.md')
-SELECT doc_id, regexp_extract(raw, '^#\s+(.+?)\s*#*\s*$', 1) AS name, 'chapter' AS kind, CAST(n AS INTEGER) AS line
-FROM l WHERE regexp_matches(raw, '^#\s+(.+?)\s*#*\s*$')""",
+    f"""WITH {lines_of('documents')}, {each_line(columns='doc_id')},
+heads AS (SELECT doc_id, line, (line - 1) % 4 AS level, regexp_replace({stripped('raw')}, '\\s*#*$', '') AS name
+  FROM line_rows)
+SELECT doc_id, name, CASE level WHEN 0 THEN 'chapter' WHEN 1 THEN 'section' ELSE 'subsection' END AS kind, line
+FROM heads WHERE level < 3 AND regexp_matches(name, '^[A-Za-z]') AND regexp_matches(name, '[.]$')""",
 )
 def markdown_symbols(spark, folder):
-    """Outline of the markdown files; their texts hold few headings besides chapters."""
-    found = symbols.extract_symbols(tables.files(spark, folder), language=paths.language_of("path"))
-    docs = tables.files(spark, folder).where(paths.language_of("path") == "markdown")
-    return symbols.symbols_of_docs(found, docs).where("kind = 'chapter'").select("doc_id", "name", "kind", "line")
+    """Outline of Markdown spelled from the documents: every line is a heading of level one
+    to three in turn, or plain text. Only lines that begin with a letter and end with a full
+    stop are asked for."""
+    heads = F.transform(
+        text_lines("text"), lambda x, i: F.concat(F.substring("marks", (i % 4) * 4 + 1, F.lit(4)), x)
+    )
+    sources = (
+        tables.files(spark, folder)
+        .withColumn("marks", F.lit("#   ##  ### ...."))
+        .select("doc_id", "path", F.array_join(heads, "\n").alias("text"))
+    )
+    found = symbols.extract_symbols(sources, language=F.lit("markdown"))
+    return found.where(F.rlike("name", F.lit(r"^[A-Za-z]")) & F.endswith("name", F.lit("."))).select(
+        "doc_id", "name", "kind", "line"
+    )
 
 
-@query("code_symbols")
+@query(
+    "code_symbols",
+    f"""WITH {lines_of('documents')}, {each_line(columns='doc_id')},
+code AS (SELECT doc_id, line, regexp_extract(raw, '[A-Za-z]+') AS name,
+  CASE WHEN line % 3 = 1 THEN regexp_extract(raw, '[A-Za-z]+') END AS owner FROM line_rows),
+named AS (SELECT *, last_value(owner IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS scope FROM code WHERE name <> '')
+SELECT doc_id, name, line, CASE WHEN owner IS NOT NULL THEN 'class' WHEN scope IS NULL THEN 'function' ELSE 'member' END AS kind,
+  CASE WHEN owner IS NULL THEN '(self, x)' END AS signature, CASE WHEN owner IS NULL THEN scope END AS scope
+FROM named""",
+)
 def code_symbols(spark, folder):
-    return symbols.extract_symbols(tables.files(spark, folder))
+    """Definitions in Python sources spelled from the documents: the first word of every
+    line names a class (each third line) or a function of the class above it."""
+    word = lambda x: F.regexp_extract(x, "[A-Za-z]+", 0)
+    code = F.transform(
+        text_lines("text"),
+        lambda x, i: F.when(word(x) == "", "pass")
+        .when(i % 3 == 0, F.concat(F.lit("class "), word(x), F.lit(":")))
+        .otherwise(F.concat(F.lit("    def "), word(x), F.lit("(self, x):"))),
+    )
+    sources = tables.files(spark, folder).select(
+        "doc_id", "path", F.array_join(code, "\n").alias("text")
+    )
+    return symbols.extract_symbols(sources, language=F.lit("python"))
 
 
 @query(

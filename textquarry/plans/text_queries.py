@@ -184,7 +184,7 @@ SELECT doc_id, gram FROM pairs EXCEPT SELECT doc_id, gram FROM new_pairs""",
 def stale_grams(spark, folder):
     docs = tables.table(spark, folder, "documents").select("doc_id", "text")
     edited = docs.withColumn("text", F.replace("text", F.lit("tion"), F.lit("sion")))
-    return postings.stale_grams(postings.gram_pairs(docs), postings.gram_pairs(edited))
+    return postings.stale_grams(postings.gram_sets(docs), postings.gram_sets(edited))
 
 
 # --- lines, chunks, windows -------------------------------------------------------------------------

@@ -24,6 +24,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .appName("textquarry")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for key, value in SETTINGS.items():

@@ -6,8 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in _TEXTS else rows
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a small scan out to all cores.
+
+    A text table of one row group is one task however much work its texts are. A scan that
+    has a partition per core or more, as any large one has, is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(2 * cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
