@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +17,7 @@ from .basics import ColumnOrName, col, let
 
 EmbedFn = Callable[[list[str]], np.ndarray]
 _WORD = re.compile(r"[a-z0-9_]+")
+_KNOWN_WORDS = 1 << 18
 
 
 def norm(vector: ColumnOrName) -> Column:
@@ -45,27 +45,41 @@ def mean_of(vector: ColumnOrName, dim: int) -> Column:
     return F.array(*[F.avg(v[i].cast("double")) for i in range(dim)])
 
 
-def hashing_embedder(dim: int = fixed.VECTOR_DIM, unit: bool = True) -> EmbedFn:
-    """Deterministic bag-of-words embedding by feature hashing, L2-normalised on demand."""
+class _HashingEmbedder:
+    """Callable that sums signed one-hot slots of the words of each text."""
 
-    @lru_cache(maxsize=1 << 18)
-    def signed_slot(word: str) -> int:
-        """Slot of a word, mirrored into the second half for a negative sign."""
-        h = hashlib.md5(word.encode()).hexdigest()
-        return int(h[:8], 16) % dim + (dim if int(h[8], 16) % 2 else 0)
+    def __init__(self, dim: int, unit: bool):
+        self.dim, self.unit, self.slots = dim, unit, {}
 
-    def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
+    def __getstate__(self):
+        return {"dim": self.dim, "unit": self.unit, "slots": {}}
+
+    def slot(self, word: str) -> int:
+        """Slot of a word, mirrored into the second half for a negative sign."""
+        at = self.slots.get(word)
+        if at is None:
+            h = hashlib.md5(word.encode()).hexdigest()
+            at = int(h[:8], 16) % self.dim + (self.dim if int(h[8], 16) % 2 else 0)
+            if len(self.slots) >= _KNOWN_WORDS:
+                self.slots.clear()
+            self.slots[word] = at
+        return at
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim))
         for row, text in enumerate(texts):
-            slots = [signed_slot(w) for w in _WORD.findall(text.lower())]
-            counts = np.bincount(np.array(slots, dtype="int64"), minlength=2 * dim)
-            out[row] = counts[:dim] - counts[dim:]
-        if unit:
+            slots = np.array([self.slot(w) for w in _WORD.findall(text.lower())], dtype="int64")
+            counts = np.bincount(slots, minlength=2 * self.dim)
+            out[row] = counts[: self.dim] - counts[self.dim :]
+        if self.unit:
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             out /= np.where(norms == 0, 1.0, norms)
         return out.astype("float32")
 
-    return embed
+
+def hashing_embedder(dim: int = fixed.VECTOR_DIM, unit: bool = True) -> EmbedFn:
+    """Deterministic bag-of-words embedding by feature hashing, L2-normalised on demand."""
+    return _HashingEmbedder(dim, unit)
 
 
 def embedder(make: Callable[[], EmbedFn], *, batch: int = 64, sort_by_length: bool = True):

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import paths
@@ -95,7 +96,7 @@ def list_tree(spark: SparkSession, roots: dict[str, str], partitions: int = 64)
 def read_tree(listing: DataFrame, tasks: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Add ``content`` to listed files; files above ``max_bytes`` keep a null content."""
     spread = listing.repartition(tasks) if tasks else listing.repartition(F.col("repo"), F.col("path"))
-    schema = listing.schema.add("content", "binary")
+    schema = T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType())])
     names = listing.columns
     at = {c: names.index(c) for c in ("root", "path", "size")}
 
