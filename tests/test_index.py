@@ -133,6 +133,10 @@ def test_search_over_the_store(spark, store):
     index.index_repositories(store, table(spark, FIRST))
     got = search.search_postings(store.live("postings"), store.files(), "DEF ONE")
     assert [(r.repo, r.path, r.line) for r in got.collect()] == [("a", "x.py", 1), ("b", "x.py", 1)]
+    index.index_repositories(store, table(spark, LATER))
+    for query in ("def one", "pass", "def fresh", "body text", "xy", "nowhere"):
+        plain = search.search_code(store.files(), query).collect()
+        assert index.search_store(store, query).collect() == plain
     hit = symbols.find_symbol(store.live("symbols"), store.documents(), "run").collect()
     assert [(r.file_path, r.kind, r.scope) for r in hit] == [("a::y.py", "member", "Y")]
 

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions import paths
 from ..functions.text import LINE_BREAK, lines, strip, trigrams
 from . import postings
+from .sizing import broadcast_if_small, staged
 
 HIT_ORDER = ("repo", "path", "line")
 SCAN_QUERIES = 50_000
@@ -68,6 +69,17 @@ def search_code(
     return _cut(_line_hits(_in_repo(files, repo, False), query, False), max_results)
 
 
+def rarest_grams(pairs: DataFrame, query: str, most: int | None = 6) -> list[str]:
+    """The grams of a query, or the ``most`` of them with the fewest documents."""
+    lowered = query.lower()
+    grams = sorted({lowered[i : i + 3] for i in range(len(lowered) - 2)})
+    if most is None or len(grams) <= most:
+        return grams
+    counted = postings.gram_counts(pairs.where(F.col("gram").isin(*grams))).collect()
+    size = {r["gram"]: r["n_docs"] for r in counted}
+    return sorted(grams, key=lambda g: (size.get(g, 0), g))[:most]
+
+
 def search_postings(
     pairs: DataFrame,
     files: DataFrame,
@@ -80,19 +92,16 @@ def search_postings(
 
     Only the ``rarest`` grams of the query are intersected (all of them when ``None``): any
     subset gives a superset of the documents, and the line test settles it. The sizes of
-    at most len(query) postings are looked up on the driver.
+    at most len(query) postings are looked up on the driver. Candidates are kept in the
+    shared folder and, when they measure small, reach the texts by broadcast, so that no
+    text is shuffled.
     """
     files = _in_repo(files, repo, False)
-    lowered = query.lower()
-    grams = sorted({lowered[i : i + 3] for i in range(len(lowered) - 2)})
+    grams = rarest_grams(pairs, query, rarest)
     if not grams:
         return _cut(_line_hits(files.where(F.lit(False)), query, False), max_results)
-    if rarest is not None and len(grams) > rarest:
-        counted = postings.gram_counts(pairs.where(F.col("gram").isin(*grams))).collect()
-        size = {r["gram"]: r["n_docs"] for r in counted}
-        grams = sorted(grams, key=lambda g: (size.get(g, 0), g))[:rarest]
-    candidates = postings.matching_docs(pairs, grams)
-    docs = files.join(candidates, "doc_id", "left_semi")
+    candidates = staged(postings.matching_docs(pairs, grams), "candidates")
+    docs = files.join(broadcast_if_small(candidates), "doc_id", "left_semi")
     return _cut(_line_hits(docs, query, False), max_results)
 
 
@@ -232,32 +241,37 @@ def _needle_lines(found: DataFrame) -> DataFrame:
 def _join_many(
     files: DataFrame, usable: DataFrame, pairs: DataFrame | None = None, anchors: int = 3
 ) -> DataFrame:
-    """Candidates by the rarest grams of each query, then the line test."""
+    """Candidates by the rarest grams of each query, then the line test.
+
+    What is small as a rule (the grams of the queries, the picked grams, the candidates) is
+    measured and then broadcast, so neither postings nor texts are shuffled; where it is
+    not small the joins shuffle.
+    """
     pairs = postings.gram_pairs(files) if pairs is None else pairs
     query_grams = usable.select("query_id", F.explode(trigrams("needle")).alias("gram"))
-    # Postings of grams that no query uses never get past this join.
-    used = pairs.join(query_grams.select("gram").distinct(), "gram", "left_semi")
+    used = pairs.join(broadcast_if_small(query_grams.select("gram").distinct()), "gram", "left_semi")
     counts = postings.gram_counts(used)
     # A gram without postings counts as zero: it ranks first and matches nothing.
     rank = Window.partitionBy("query_id").orderBy("n_docs", "gram")
-    picked = (
+    ranked = (
         query_grams.join(counts, "gram", "left")
         .fillna(0, ["n_docs"])
         .withColumn("rank", F.row_number().over(rank))
         .where(F.col("rank") <= anchors)
+        .select("query_id", "gram", F.count("*").over(Window.partitionBy("query_id")).alias("need"))
     )
-    wanted = picked.groupBy("query_id").agg(F.count("*").alias("need"))
+    picked = broadcast_if_small(staged(ranked, "picked-grams"))
     candidates = (
-        used.join(picked.select("query_id", "gram"), "gram")
+        pairs.join(picked, "gram")
         .groupBy("query_id", "doc_id")
-        .agg(F.count("*").alias("have"))
-        .join(wanted, "query_id")
+        .agg(F.count("*").alias("have"), F.first("need").alias("need"))
         .where(F.col("have") == F.col("need"))
         .select("query_id", "doc_id")
     )
+    needles = staged(candidates.join(usable, "query_id"), "candidates")
     found = (
-        candidates.join(usable, "query_id")
-        .join(files.select("doc_id", "repo", "path", "text"), "doc_id")
+        files.select("doc_id", "repo", "path", "text")
+        .join(broadcast_if_small(needles), "doc_id")
         .where(F.contains(F.lower("text"), F.col("needle")))
     )
     return _needle_lines(found)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fixed, vectors
+from .sizing import broadcast_if_small
 
 QUERIES_PER_PASS = 4096
 # Copies of a vector must tie whatever row of a matrix product they came from.
@@ -205,7 +206,8 @@ def semantic_search(
 def embed_queries(queries: DataFrame, embed: vectors.EmbedFn) -> DataFrame:
     """(query_id, query) to (query_id, vector), L2-normalised."""
     column = vectors.embedder(lambda: embed)
-    return queries.select("query_id", vectors.normalize(column("query")).alias("vector"))
+    embedded = queries.select("query_id", column("query").alias("vector"))
+    return embedded.withColumn("vector", vectors.normalize("vector"))
 
 
 # --- vector tables -------------------------------------------------------------------------------
@@ -215,9 +217,9 @@ def usable_vectors(rows: DataFrame, dim: int, *, vector: str = "vector") -> Data
     """Normalised rows of documents whose every vector has ``dim`` elements.
 
     A document with a missing or wrong vector is left out as a whole; see
-    :func:`vector_errors` for which.
+    :func:`vector_errors` for which. ``rows`` is read more than once, so pass a stored table.
     """
-    bad = rows.where(~_fits(vector, dim)).select("doc_id").distinct()
+    bad = broadcast_if_small(rows.where(~_fits(vector, dim)).select("doc_id").distinct())
     return rows.join(bad, "doc_id", "left_anti").withColumn(
         vector, vectors.normalize(vector).cast("array<float>")
     )

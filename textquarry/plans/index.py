@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.text import content_hash
 from ..operators import files as file_ops
-from ..operators import postings, symbols
-from ..operators.sizing import broadcast_if_small
+from ..operators import postings, search, symbols
+from ..operators.sizing import broadcast_if_small, staged
 from ..sources.store import Store
 
 KEY = ["repo", "path"]
@@ -129,6 +129,19 @@ def _apply(store: Store, batch: int, todo: DataFrame, removed: DataFrame | None)
     return run_stats(store, batch)
 
 
+def search_store(
+    store: Store, query: str, repo: str | None = None, max_results: int | None = 50
+) -> DataFrame:
+    """Substring search over a stored index: postings, then only the texts they point to."""
+    pairs = store.live("postings")
+    grams = search.rarest_grams(pairs, query)
+    if not grams:
+        nothing = store.files().where(F.lit(False))
+        return search.search_code(nothing, query, repo, max_results)
+    candidates = staged(postings.matching_docs(pairs, grams), "candidates")
+    return search.search_code(store.files(candidates), query, repo, max_results)
+
+
 def run_stats(store: Store, batch: int) -> DataFrame:
     """(repo, files_indexed, files_removed, bytes_indexed, symbols_extracted, gram_pairs)."""
     docs = store.batch_rows("documents", batch)

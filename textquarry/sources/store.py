@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..operators.sizing import broadcast_if_small
+
 TABLES = {
     "documents": (
         "doc_id bigint, repo string, path string, blob_sha string, size bigint, language string, "
@@ -88,11 +90,17 @@ class Store:
         kept = self.log("blobs").drop("batch").join(used, "blob_sha", "left_semi")
         return kept.groupBy("blob_sha").agg(F.any_value("text").alias("text"))
 
-    def files(self) -> DataFrame:
-        """Live documents with their text."""
-        return self.documents().select("doc_id", "repo", "path", "blob_sha").join(
-            self.blobs(), "blob_sha"
-        )
+    def files(self, doc_ids: DataFrame | None = None) -> DataFrame:
+        """Live documents with their text, all or those in ``doc_ids``.
+
+        Chosen documents that measure small reach the blobs by broadcast: the blobs are then
+        scanned, not shuffled.
+        """
+        docs = self.documents().select("doc_id", "repo", "path", "blob_sha")
+        if doc_ids is None:
+            return docs.join(self.blobs(), "blob_sha")
+        docs = broadcast_if_small(docs.join(doc_ids.select("doc_id"), "doc_id", "left_semi"))
+        return self.log("blobs").drop("batch").join(docs, "blob_sha")
 
     def compact(self, target: str) -> Store:
         """Write only what is live into a new folder as one batch; switch readers to it.

@@ -83,7 +83,8 @@ def as_changes(events: DataFrame) -> DataFrame:
     )
     return events.select(
         "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
+        # The wall times are UTC whatever the session's time zone is.
+        F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp").alias("ts"),
         F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("repo"),
         F.concat(F.lit("f"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"),
         kind.alias("event_type"),
