@@ -179,7 +179,8 @@ def test_wrong_vectors_are_refused_by_document(spark):
     df = spark.createDataFrame(rows, "doc_id long, vector array<float>")
     got = semantic.usable_vectors(df, 2).collect()
     assert sorted((r.doc_id, [round(x, 4) for x in r.vector]) for r in got) == [(1, [0.0, 0.0]), (1, [0.6, 0.8])]
-    assert {r.doc_id for r in semantic.vector_errors(df, 2).collect()} == {2, 3}
+    errors = {r.doc_id: r.vector_index_error for r in semantic.vector_errors(df, 2).collect()}
+    assert errors == {2: "vector_upsert_failed", 3: "embeddings_unavailable"}
     audit = {(r.dim, r.vectors, r.matches) for r in semantic.dimension_audit(df.na.drop(), 2).collect()}
     assert audit == {(2, 3, True), (1, 1, False)}
 
@@ -197,6 +198,21 @@ def test_embedding_goes_back_to_its_rows(spark):
         df.select(short("text")).collect()
 
 
+def test_a_failing_model_marks_its_documents(spark, store):
+    index.index_repositories(store, table(spark, FIRST))
+
+    def flaky(texts):
+        if any("Title" in t for t in texts):
+            raise RuntimeError("model down")
+        return np.ones((len(texts), 4))
+
+    vector_index.build_vectors(store, lambda: flaky, 1, dim=4)
+    stale = {(r.repo, r.path): r.error for r in reports.stale_documents(store.documents()).collect()}
+    assert stale[("b", "z.md")] == "embeddings_unavailable"
+    with pytest.raises(Exception, match="model down"):
+        vector_index.build_vectors(store, lambda: flaky, 2, dim=4, on_error="raise")
+
+
 def test_mean_pool(spark):
     rows = [(1, [1.0, 3.0]), (1, [3.0, 5.0]), (1, [9.0]), (2, [7.0]), (3, [2.0, 2.0])]
     df = spark.createDataFrame(rows, "k int, vector array<float>")

@@ -47,6 +47,9 @@ def test_search_is_brute_force(files, query):
 def test_repo_and_limit(files):
     assert hits(search.search_code(files, "hello", repo="r2")) == brute("hello", lambda r, p: r == "r2")
     assert hits(search.search_code(files, "hello", repo="nope")) == []
+    assert hits(search.search_code(files, "hello", repo="nope", unknown_repo="all")) == brute("hello")
+    with pytest.raises(ValueError):
+        search.search_code(files, "hello", repo="nope", unknown_repo="error")
     first = search.search_code(files, "hello", max_results=2).collect()
     assert [(r.repo, r.path, r.line, r.doc_id) for r in first] == [
         ("r1", ".hid/c.rs", 1, "r1::.hid/c.rs"),

@@ -113,6 +113,23 @@ def test_filters(spark):
     assert debounce.watched(df, options).count() == 0
 
 
+def test_options_and_patterns_by_repo(spark):
+    df = spark.createDataFrame(
+        [(i, START, r, p, "modified") for i, (r, p) in enumerate(
+            [("a", "x.md"), ("a", "y.md"), ("b", "x.md"), ("c", "x.md"), ("a", "z.py"), ("b", "target/z.py"), ("a", "target/k.py")]
+        )],
+        SCHEMA,
+    )
+    options = spark.createDataFrame(
+        [("a", True, True), ("b", True, False), ("c", False, True)], "repo string, watch boolean, respect_gitignore boolean"
+    )
+    schema = "repo string, ord int, pattern string"
+    git = spark.createDataFrame([("a", 0, "*.md"), ("b", 0, "*.md")], schema)
+    include = spark.createDataFrame([("a", 0, "y.md"), ("a", 1, "target/k.py")], schema)
+    got = debounce.kept_by_repo(df, options, git, include).collect()
+    assert {(r.repo, r.path) for r in got} == {("a", "y.md"), ("a", "z.py"), ("b", "x.md"), ("a", "target/k.py")}
+
+
 def test_stream_of_changes_keeps_an_index_current(spark, tmp_path):
     repo = tmp_path / "repo"
     (repo / "pkg").mkdir(parents=True)

@@ -124,6 +124,15 @@ def test_limits(texts):
     assert any(len(w) > len(plain_chunks(t, 8, 2)) for w, t in zip(want, TEXTS))
 
 
+def test_limits_by_a_tokenizer_of_its_own(texts):
+    count = tx.chunk_token_counter(lambda ts: [len(t.split()) for t in ts])
+    limits = dict(max_tokens=12, target_tokens=6, token_overlap=2)
+    cut = texts.select("i", tx.chunks("text", 8, 2).alias("cs"))
+    counted = cut.withColumn("n", count(F.transform("cs", lambda c: c["content"])))
+    got = values(counted, tx.limit_chunks(F.col("cs"), token_counts=F.col("n"), **limits))
+    assert got == values(cut, tx.limit_chunks(F.col("cs"), **limits))
+
+
 def test_exact_lines_follow_the_text(spark):
     body = "\n".join(f"line {i}" for i in range(200))
     df = spark.createDataFrame([(0, body)], "i int, text string")

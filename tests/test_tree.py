@@ -76,6 +76,19 @@ def test_footprint(spark, roots):
     assert got == {"one": sum(map(len, FILES.values())), "two": 5}
 
 
+def test_tail_of_a_file_read_in_parts(spark, tmp_path):
+    f = tmp_path / "server.log"
+    f.write_text("".join(f"line {i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        log = tree.read_log(spark, str(f))
+        assert log.rdd.getNumPartitions() > 5
+        got = [r.text for r in tree.log_tail(log, 7, order=["file", "at", "row"]).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"line {i}" for i in range(4993, 5000)]
+
+
 def test_log_tail(spark):
     assert [tree.clamp_tail(x) for x in ("5", 0, -3, 99999, "x", None)] == [5, 1, 1, 2000, 200, 200]
     log = spark.range(1, 301).selectExpr("id AS line", "concat('l', id) AS text")

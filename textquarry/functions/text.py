@@ -76,6 +76,16 @@ def token_counter(fn: Callable[[list[str]], list[int]]):
     return count
 
 
+def chunk_token_counter(fn: Callable[[list[str]], list[int]]):
+    """Like :func:`token_counter` for the array of a document's chunk texts."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def count(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda texts: [int(n) for n in fn(list(texts))])
+
+    return count
+
+
 def char_windows(text: ColumnOrName, window: Column | int, overlap: Column | int) -> Column:
     """Overlapping character windows: text[i : i+window] for i = 0, step, 2*step, ...
 
@@ -169,7 +179,8 @@ def _placed(windows: Column, start: Column, exact_lines: bool, step: Column) ->
 def limit_chunks(
     chunk_array: Column,
     *,
-    tokens: str | Callable[[Column], Column] = "words",
+    tokens: str = "words",
+    token_counts: Column | None = None,
     max_tokens: int = fixed.MAX_TOKENS,
     target_tokens: int = fixed.TARGET_TOKENS,
     token_overlap: int = fixed.TOKEN_OVERLAP,
@@ -180,12 +191,14 @@ def limit_chunks(
 ) -> Column:
     """Split oversized chunks of one document; the array position is the new chunk index.
 
-    Everything happens inside the row, so numbering needs no shuffle of the text.
+    Everything happens inside the row, so numbering needs no shuffle of the text. Token
+    counts of a model's own tokenizer come in as an array beside the chunks, see
+    :func:`chunk_token_counter`.
     """
-    count = tokens if callable(tokens) else (lambda t: token_count(t, tokens))
 
-    def split_one(c: Column) -> Column:
+    def split_one(c: Column, i: Column) -> Column:
         body = c["content"]
+        toks_of = token_count(body, tokens) if token_counts is None else token_counts[i]
         n_chars = F.length(body)
 
         def by_tokens(toks: Column) -> Column:
@@ -202,7 +215,7 @@ def limit_chunks(
         whole = F.array(c)
         return F.when(n_chars == 0, whole).otherwise(
             let(
-                count(body),
+                toks_of,
                 lambda toks: F.when(toks > max_tokens, by_tokens(toks))
                 .when(n_chars > hard_chars, by_chars)
                 .otherwise(whole),

@@ -82,12 +82,19 @@ def hashing_embedder(dim: int = fixed.VECTOR_DIM, unit: bool = True) -> EmbedFn:
     return _HashingEmbedder(dim, unit)
 
 
-def embedder(make: Callable[[], EmbedFn], *, batch: int = 64, sort_by_length: bool = True):
+def embedder(
+    make: Callable[[], EmbedFn],
+    *,
+    batch: int = 64,
+    sort_by_length: bool = True,
+    on_error: str = "raise",
+):
     """Vectorised embedding column function.
 
     ``make`` runs once per Python worker and returns the model's batch function. Texts of
     an Arrow batch are taken in order of length, so that a padded model batch holds texts
-    of like size, and results go back to their own rows.
+    of like size, and results go back to their own rows. With ``on_error="null"`` the texts
+    of a model batch that fails get no vector, and the rest goes on.
     """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -104,9 +111,14 @@ def embedder(make: Callable[[], EmbedFn], *, batch: int = 64, sort_by_length: bo
             order = list(order)
             for at in range(0, len(order), batch):
                 ids = order[at : at + batch]
-                vectors = fn([values[i] for i in ids])
-                if len(vectors) != len(ids):
-                    raise ValueError("the embedding function must return one vector per text")
+                try:
+                    vectors = fn([values[i] for i in ids])
+                    if len(vectors) != len(ids):
+                        raise ValueError("the embedding function must return one vector per text")
+                except Exception:
+                    if on_error != "null":
+                        raise
+                    continue
                 for i, v in zip(ids, vectors):
                     out[i] = np.asarray(v, dtype="float32")
             yield pd.Series(out)

@@ -78,6 +78,13 @@ def update_where(table: DataFrame, condition: Column, **values) -> DataFrame:
     )
 
 
+def documents_with_repo(documents: DataFrame, repos: DataFrame) -> DataFrame:
+    """Documents with their repo's own path as ``repo_path`` (and when it was indexed)."""
+    columns = [c for c in repos.columns if c not in ("repo", "path")]
+    registry = repos.select("repo", F.col("path").alias("repo_path"), *columns)
+    return documents.join(broadcast_if_small(registry), "repo")
+
+
 def list_repos(repos: DataFrame) -> DataFrame:
     return repos.select("repo", "path").orderBy("repo")
 

@@ -191,9 +191,13 @@ def event_dropped(
     include: list[str] = (),
     gitignore: list[str] = (),
     skip_dirs: Iterable[str] = fixed.WATCH_SKIP_DIRS,
+    include_match: Column | None = None,
+    gitignore_match: Column | None = None,
 ) -> Column:
     """Whether a change event is dropped before anything looks at the file."""
     p = F.col(path)
+    included = paths.last_match(p, list(include)) if include_match is None else include_match
+    git = paths.last_match(p, list(gitignore)) if gitignore_match is None else gitignore_match
     names = set()
     for d in skip_dirs:
         names |= {d, d.lstrip(".")} if d.startswith(".") else {d, f".{d}"}
@@ -202,8 +206,8 @@ def event_dropped(
         F.arrays_overlap(paths.parts(p), F.array(*map(F.lit, sorted(names)))) if names else F.lit(False)
     )
     return (
-        F.when(paths.last_match(p, list(include)), False)
-        .when(paths.last_match(p, list(gitignore)), True)
+        F.when(included, False)
+        .when(git, True)
         .otherwise(in_dir)
     )
 

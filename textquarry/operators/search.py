@@ -46,27 +46,37 @@ def _cut(hits: DataFrame, max_results: int | None) -> DataFrame:
     return hits if max_results is None else hits.orderBy(*HIT_ORDER).limit(max_results)
 
 
-def _in_repo(docs: DataFrame, repo: str | None, must_exist: bool) -> DataFrame:
+def _in_repo(docs: DataFrame, repo: str | None, unknown: str = "empty") -> DataFrame:
+    """Documents of a repo. ``unknown`` says what a repo without documents means: ``empty``,
+    ``error``, or ``all`` for no restriction."""
     if repo is None:
         return docs
     kept = docs.where(F.col("repo") == repo)
-    if must_exist and kept.select(F.lit(1)).head() is None:
+    if unknown != "empty" and kept.select(F.lit(1)).head() is None:
+        if unknown == "all":
+            return docs
         raise ValueError(f"unknown repo {repo!r}")
     return kept
 
 
 def search_code(
-    files: DataFrame, query: str, repo: str | None = None, max_results: int | None = 50
+    files: DataFrame,
+    query: str,
+    repo: str | None = None,
+    max_results: int | None = 50,
+    *,
+    unknown_repo: str = "empty",
 ) -> DataFrame:
     """Case-insensitive substring search, one row per matching line.
 
-    Queries under three characters find nothing. An unknown repo finds nothing. ``files``
-    has (repo, path, text); the document test runs before lines are cut, so only matching
+    Queries under three characters find nothing. An unknown repo finds nothing either,
+    unless ``unknown_repo`` is ``all`` (search everything) or ``error``. ``files`` has
+    (repo, path, text); the document test runs before lines are cut, so only matching
     documents are split.
     """
     if len(query) < 3:
         files = files.where(F.lit(False))
-    return _cut(_line_hits(_in_repo(files, repo, False), query, False), max_results)
+    return _cut(_line_hits(_in_repo(files, repo, unknown_repo), query, False), max_results)
 
 
 def rarest_grams(pairs: DataFrame, query: str, most: int | None = 6) -> list[str]:
@@ -96,7 +106,7 @@ def search_postings(
     shared folder and, when they measure small, reach the texts by broadcast, so that no
     text is shuffled.
     """
-    files = _in_repo(files, repo, False)
+    files = _in_repo(files, repo)
     grams = rarest_grams(pairs, query, rarest)
     if not grams:
         return _cut(_line_hits(files.where(F.lit(False)), query, False), max_results)
@@ -117,7 +127,7 @@ def search_repo(
     Hidden files and directories are left out unless the glob is exactly ``*``. An unknown
     repo is an error.
     """
-    docs = _in_repo(files, repo, True).where(paths.find_match("path", file_glob))
+    docs = _in_repo(files, repo, "error").where(paths.find_match("path", file_glob))
     if file_glob != "*":
         docs = docs.where(~paths.has_hidden_part("path"))
     return _cut(_line_hits(docs, query, True).drop("doc_id"), max_results)

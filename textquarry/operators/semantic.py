@@ -226,12 +226,19 @@ def usable_vectors(rows: DataFrame, dim: int, *, vector: str = "vector") -> Data
 
 
 def vector_errors(rows: DataFrame, dim: int, *, vector: str = "vector") -> DataFrame:
-    """(doc_id, vector_index_error) of the documents that :func:`usable_vectors` refuses."""
+    """(doc_id, vector_index_error) of the documents that :func:`usable_vectors` refuses:
+    ``embeddings_unavailable`` where a vector is missing, else ``vector_upsert_failed``."""
+    missing = F.count_if(F.col(vector).isNull())
     return (
         rows.groupBy("doc_id")
-        .agg(F.count_if(~_fits(vector, dim)).alias("bad"))
+        .agg(missing.alias("missing"), F.count_if(~_fits(vector, dim)).alias("bad"))
         .where(F.col("bad") > 0)
-        .select("doc_id", F.lit("vector_upsert_failed").alias("vector_index_error"))
+        .select(
+            "doc_id",
+            F.when(F.col("missing") > 0, "embeddings_unavailable")
+            .otherwise("vector_upsert_failed")
+            .alias("vector_index_error"),
+        )
     )
 
 

@@ -25,6 +25,7 @@ def embedded_chunks(
     include_solution: bool = True,
     tokens: str = "words",
     normalized: bool = True,
+    on_error: str = "raise",
 ) -> DataFrame:
     """Vector rows of files (doc_id, repo, path, text); nothing is shuffled.
 
@@ -43,7 +44,7 @@ def embedded_chunks(
         .withColumn("class", classify("path", F.col("cs")[0]["content"]))
         .select("doc_id", "repo", "path", "class", F.posexplode("cs").alias("chunk_index", "c"))
     )
-    vector = embedder(make_embed)("content")
+    vector = embedder(make_embed, on_error=on_error)("content")
     out = rows.select(
         "doc_id", "repo", "path", "chunk_index", "c.start_line", "c.end_line", "c.content", "class.*"
     ).withColumn("vector", vector)
@@ -65,6 +66,7 @@ def build_vectors(
     repo: str | None = None,
     dim: int = fixed.VECTOR_DIM,
     use_policy: bool = True,
+    on_error: str = "null",
 ) -> DataFrame:
     """Embed the live documents (all, or one repo's) into a new batch and mark them.
 
@@ -77,7 +79,7 @@ def build_vectors(
         files = files.where(F.col("repo") == repo)
         if docs.head() is None:
             raise ValueError(f"repo {repo!r} is not indexed")
-    rows = embedded_chunks(files, make_embed, use_policy=use_policy)
+    rows = embedded_chunks(files, make_embed, use_policy=use_policy, on_error=on_error)
     stage = store.folder("embedded", batch)
     rows.write.mode("overwrite").parquet(stage)
     rows = store.spark.read.parquet(stage)

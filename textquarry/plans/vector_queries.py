@@ -10,7 +10,7 @@ from ..session import shared_folder
 from ..sources import tables
 from ..streaming import debounce
 from ..streaming.apply import drain
-from .registry import FILES, query
+from .registry import FILES, lines_of, query, words
 from .vector_index import embedded_chunks
 
 _DIM = 64
@@ -203,7 +203,15 @@ def embed_hash(spark, folder):
     return _elements(docs, "doc_id", "v").where("x <> 0").withColumn("x", F.col("x").cast("double"))
 
 
-@query("vector_build")
+@query(
+    "vector_build",
+    f"""WITH {lines_of('documents')}, chunk_rows AS (
+  SELECT doc_id, array_to_string(l[s + 1:s + 100], chr(10)) AS content FROM (SELECT doc_id, l, unnest(range(0, len(l), 90)) AS s FROM ln)),
+counted AS (SELECT doc_id, length(content) AS n, CAST({words('content')} AS DOUBLE) AS toks FROM chunk_rows),
+sized AS (SELECT doc_id, n, toks, floor(greatest(1.0, n / toks) * 1024) - floor(greatest(1.0, n / toks) * 128) AS step FROM counted)
+SELECT CAST(sum(CASE WHEN toks > 2048 THEN ceil(n / step) WHEN n > 12000 THEN ceil(n / 9000.0) ELSE 1 END) AS BIGINT) AS chunks_indexed,
+  count(DISTINCT doc_id) AS documents_processed FROM sized""",
+)
 def vector_build(spark, folder):
     """Chunk, embed and classify the whole corpus; how many chunks and documents there are."""
     rows = embedded_chunks(tables.files(spark, folder), lambda: vectors.hashing_embedder(_DIM))

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions import paths
 
 LISTING = "repo string, path string, size bigint, root string"
 
@@ -172,10 +171,20 @@ def clamp_tail(n, default: int = 200, most: int = 2000) -> int:
         return default
 
 
-def log_tail(log: DataFrame, n=200, order: str = "line") -> DataFrame:
-    """The last lines of a log table by its ``order`` column, oldest first."""
-    return log.orderBy(F.desc(order)).limit(clamp_tail(n)).orderBy(order)
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, row, text): the lines of text files with what orders them.
+
+    ``at`` is where a task's part of the file begins and ``row`` rises within the part.
+    """
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col("value").alias("text"),
+    )
 
 
-def hit_files(files: DataFrame, file_glob: str) -> DataFrame:
-    return files.where(paths.find_match("path", file_glob))
+def log_tail(log: DataFrame, n=200, order: str | list[str] = "line") -> DataFrame:
+    """The last lines of a log table by its ``order`` columns, oldest first."""
+    by = [order] if isinstance(order, str) else order
+    return log.orderBy(*[F.desc(c) for c in by]).limit(clamp_tail(n)).orderBy(*by)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators.ignore import event_dropped, ignore_decision
+from ..operators.ignore import event_dropped, ignore_decision, rule_arrays, table_match
+from ..operators.sizing import broadcast_if_small
 
 KEY = ["repo", "path"]
 EVENT_TYPES = ("created", "modified", "deleted")
@@ -21,21 +22,28 @@ def kept_events(
     gitignore: list[str] = (),
     skip_dirs: Iterable[str] = fixed.WATCH_SKIP_DIRS,
     skip_extensions: Iterable[str] = fixed.WATCH_SKIP_EXTENSIONS,
+    include_match: Column | None = None,
+    gitignore_match: Column | None = None,
     **rules,
 ) -> DataFrame:
     """Events worth looking at. Removals only pass the directory prefilter: a file that is
     gone cannot be judged by its size. A ``size`` column is used when there is one."""
+    patterns = dict(
+        include=include,
+        gitignore=gitignore,
+        include_match=include_match,
+        gitignore_match=gitignore_match,
+    )
     known = events.where(F.col("event_type").isin(*EVENT_TYPES)).where(
-        ~event_dropped("path", include=include, gitignore=gitignore, skip_dirs=skip_dirs)
+        ~event_dropped("path", skip_dirs=skip_dirs, **patterns)
     )
     sized = known if "size" in known.columns else known.withColumn("size", F.lit(0).cast("long"))
     decision = ignore_decision(
         "path",
         "size",
-        include=include,
-        gitignore=gitignore,
         skip_dirs=skip_dirs,
         skip_extensions=skip_extensions,
+        **patterns,
         **rules,
     )
     return (
@@ -50,6 +58,33 @@ def watched(events: DataFrame, options: DataFrame) -> DataFrame:
     return events.join(options.where("watch").select("repo"), "repo", "left_semi")
 
 
+def kept_by_repo(
+    events: DataFrame,
+    options: DataFrame,
+    ignore_patterns: DataFrame,
+    include_patterns: DataFrame | None = None,
+    **rules,
+) -> DataFrame:
+    """:func:`kept_events` where every repo brings its own options and patterns.
+
+    ``options`` has (repo, watch, respect_gitignore); pattern tables have (repo, ord,
+    pattern). All of them are static and small, the events may be a stream.
+    """
+    columns = events.columns
+    chosen = options.where("watch").select("repo", "respect_gitignore")
+    joined = events.join(broadcast_if_small(chosen), "repo")
+    git = broadcast_if_small(rule_arrays(ignore_patterns).withColumnRenamed("rules", "__git"))
+    joined = joined.join(git, "repo", "left")
+    included = F.lit(False)
+    if include_patterns is not None:
+        own = broadcast_if_small(rule_arrays(include_patterns).withColumnRenamed("rules", "__inc"))
+        joined = joined.join(own, "repo", "left")
+        included = table_match("path", F.col("__inc"))
+    ignored = F.col("respect_gitignore") & table_match("path", F.col("__git"))
+    kept = kept_events(joined, include_match=included, gitignore_match=ignored, **rules)
+    return kept.select(*columns)
+
+
 def debounce_stream(
     events: DataFrame,
     gap: str = f"{fixed.DEBOUNCE_SECONDS:g} seconds",
