@@ -149,8 +149,10 @@ def fetch(files: DataFrame, ids: DataFrame, max_bytes: int = fixed.FETCH_BYTES)
         F.substring_index("id", "::", 1).alias("repo"),
         F.expr("substring(id, locate('::', id) + 2)").alias("path"),
     )
-    found = parsed.join(files.select("repo", "path", "text"), DOC_KEY, "left")
-    return found.select(
+    # The few ids go to the texts, not the texts to the ids.
+    keys = broadcast_if_small(parsed.select(*DOC_KEY).distinct())
+    found = files.select(*DOC_KEY, "text").join(keys, DOC_KEY)
+    return parsed.join(found, DOC_KEY, "left").select(
         "id",
         paths.hit_title("repo", "path").alias("title"),
         truncate_bytes("text", max_bytes).alias("text"),

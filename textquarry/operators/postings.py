@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import trigrams
+from .sizing import broadcast_if_small
 
 _FLUSH = 1 << 20  # gram rows per output batch
 
@@ -134,7 +135,7 @@ def merge_postings(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def remove_docs(pairs: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """Postings without the given documents; grams left without a document are gone."""
-    return pairs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
+    return pairs.join(broadcast_if_small(doc_ids.select("doc_id").distinct()), "doc_id", "left_anti")
 
 
 def stale_grams(old_sets: DataFrame, new_sets: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .sizing import broadcast_if_small
 
 
 def index_stats(
@@ -169,7 +170,7 @@ def run_totals(runs: DataFrame) -> DataFrame:
 
 def orphans(documents: DataFrame, repos: DataFrame, symbols: DataFrame) -> DataFrame:
     """(kind, key): documents without a repo and symbols without a document."""
-    lost_docs = documents.join(repos.select("repo"), "repo", "left_anti").select(
+    lost_docs = documents.join(broadcast_if_small(repos.select("repo")), "repo", "left_anti").select(
         F.lit("document").alias("kind"), paths.hit_id("repo", "path").alias("key")
     )
     lost_symbols = symbols.join(documents.select("doc_id"), "doc_id", "left_anti").select(

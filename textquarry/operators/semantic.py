@@ -270,7 +270,7 @@ def move_metadata(rows: DataFrame, moves: DataFrame) -> DataFrame:
         "doc_id", F.col("repo").alias("__repo"), F.col("path").alias("__path")
     )
     return (
-        rows.join(target, "doc_id", "left")
+        rows.join(broadcast_if_small(target), "doc_id", "left")
         .withColumns(
             {"repo": F.coalesce("__repo", "repo"), "path": F.coalesce("__path", "path")}
         )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.basics import let
 from ..functions.text import lines
+from .sizing import broadcast_if_small
 
 
 class Rule(NamedTuple):
@@ -278,4 +279,4 @@ def list_symbols(
 
 
 def symbols_of_docs(symbols: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    return symbols.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return symbols.join(broadcast_if_small(doc_ids.select("doc_id").distinct()), "doc_id", "left_semi")

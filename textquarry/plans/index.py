@@ -46,7 +46,7 @@ def index_repositories(
         known = known.where(F.col("repo").isin(*repos))
     scanned = files.select(*KEY, "text").withColumn("blob_sha", content_hash("text"))
     if repos is None:
-        known = known.join(scanned.select("repo").distinct(), "repo", "left_semi")
+        known = known.join(broadcast_if_small(scanned.select("repo").distinct()), "repo", "left_semi")
     log = store.folder("changes", batch)
     changes = file_ops.detect_changes(known, scanned)
     changes.where(F.lit(force) | (F.col("change") != "unchanged")).write.mode("overwrite").parquet(log)

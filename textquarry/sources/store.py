@@ -99,7 +99,8 @@ class Store:
         docs = self.documents().select("doc_id", "repo", "path", "blob_sha")
         if doc_ids is None:
             return docs.join(self.blobs(), "blob_sha")
-        docs = broadcast_if_small(docs.join(doc_ids.select("doc_id"), "doc_id", "left_semi"))
+        wanted = broadcast_if_small(doc_ids.select("doc_id").distinct())
+        docs = broadcast_if_small(docs.join(wanted, "doc_id", "left_semi"))
         return self.log("blobs").drop("batch").join(docs, "blob_sha")
 
     def compact(self, target: str) -> Store:

@@ -55,7 +55,7 @@ def kept_events(
 
 def watched(events: DataFrame, options: DataFrame) -> DataFrame:
     """Events of the repos being watched; ``options`` has (repo, watch)."""
-    return events.join(options.where("watch").select("repo"), "repo", "left_semi")
+    return events.join(broadcast_if_small(options.where("watch").select("repo")), "repo", "left_semi")
 
 
 def kept_by_repo(
@@ -126,7 +126,7 @@ def debounce_batch(
     micros = F.unix_micros("ts")
     folded = (
         events.withColumn("us", micros)
-        .withColumn("bin", F.floor(F.col("us") / gap))
+        .withColumn("bin", ((F.col("us") - F.pmod("us", F.lit(gap))) / gap).cast("long"))
         .groupBy(*KEY, "bin")
         .agg(
             F.max(F.struct(_order(events).alias("at"), "event_type")).alias("last"),
