@@ -67,6 +67,10 @@ def test_full_then_incremental_equals_rebuild(spark, store, tmp_path):
     fresh, _ = index.rebuild(store, str(tmp_path / "fresh"), table(spark, LATER))
     assert state(store) == state(fresh)
     assert {(r, p): t for r, p, t in state(store)["files"]} == LATER
+    embedded, _ = index.rebuild(
+        store, str(tmp_path / "embedded"), table(spark, LATER), lambda: hashing_embedder(8), dim=8
+    )
+    assert state(embedded) == state(fresh) and embedded.live("vectors").count() == len(LATER)
     again = index.index_repositories(store, table(spark, LATER))
     assert again.count() == 0
     assert state(store) == state(fresh)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import fixed, paths
 from ..functions.text import content_hash
+from ..functions.vectors import EmbedFn
 from ..operators import files as file_ops
 from ..operators import postings, search, symbols
 from ..operators.sizing import broadcast_if_small, staged
 from ..sources.store import Store
+from .vector_index import build_vectors
 
 KEY = ["repo", "path"]
 
@@ -168,7 +172,17 @@ def run_stats(store: Store, batch: int) -> DataFrame:
     )
 
 
-def rebuild(store: Store, target: str, files: DataFrame) -> tuple[Store, DataFrame]:
-    """Index everything from nothing into a new folder; returns it and the run's totals."""
+def rebuild(
+    store: Store,
+    target: str,
+    files: DataFrame,
+    make_embed: Callable[[], EmbedFn] | None = None,
+    dim: int = fixed.VECTOR_DIM,
+) -> tuple[Store, DataFrame]:
+    """Index all repos from nothing into a new folder, and embed them too when a model is
+    given; returns the new store and the run's totals per repo."""
     fresh = Store(store.spark, target)
-    return fresh, index_repositories(fresh, files, force=True, batch=0)
+    totals = index_repositories(fresh, files, force=True, batch=0)
+    if make_embed is not None:
+        build_vectors(fresh, make_embed, 1, dim=dim)
+    return fresh, totals
