@@ -13,7 +13,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 _MODULES = (
-    "packing token_files token_counts language vector_search url_rules"
+    "decontaminate line_templates packing token_files token_counts language near_dups vector_search "
+    "url_rules"
 ).split()
 
 

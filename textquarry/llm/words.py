@@ -6,18 +6,20 @@ import numpy as np
 
 from .worker import shared
 
-# A word is a run of bytes outside \x20 and \x09-\x0D; A-Z are lower-cased.
+# A word is a run of bytes outside \x20 and \x09-\x0D; A-Z are lower-cased. Bare words also
+# end at every other ASCII byte that is no letter or digit.
 _BREAKS = (0x20, *range(0x09, 0x0E))
+_BARE = tuple(b for b in range(128) if not chr(b).isalnum())
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SLAB = 1 << 21
 _M64 = (1 << 64) - 1
 
 
 class _Tables:
-    def __init__(self):
+    def __init__(self, breaks: tuple[int, ...]):
         rng = np.random.default_rng(20240229)
         self.breaks = np.zeros(256, bool)
-        self.breaks[list(_BREAKS)] = True
+        self.breaks[list(breaks)] = True
         lower = np.arange(256)
         lower[65:91] += 32
         self.values = (rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[lower]
@@ -35,8 +37,8 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _tables(n: int = 0) -> _Tables:
-    t = shared("word tables", _Tables)
+def _tables(bare: bool, n: int = 0) -> _Tables:
+    t = shared(("word tables", bare), lambda: _Tables(_BARE if bare else _BREAKS))
     if n >= len(t.up):
         t.grow(n + 1)
     return t
@@ -49,13 +51,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts in order, and n + 1 offsets into them.
 
     A word's hash depends on its bytes alone. Long buffers are walked in slabs that end at a
     break or at a text's end, so memory does not follow the length of a text.
     """
-    t = _tables()
+    t = _tables(bare)
     hashes, starts, a, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, len(data)
     firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
     while a < n:
@@ -70,7 +72,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
                 break
             b += hit
         part = data[a:b]
-        t = _tables(b - a + 1)
+        t = _tables(bare, b - a + 1)
         inside = ~t.breaks[part]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
