@@ -7,17 +7,35 @@ but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textquarry.llm import language, packing
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+from textquarry.llm import decontaminate, language, line_templates, near_dups, packing
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter or text go."""
+    """Documents whose language can be told; those without a letter go."""
     return language.with_known_language(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines whose template an earlier document has."""
+    kept = line_templates.deduplicated_lines(docs)
+    if "n_chars" not in docs.columns:
+        return kept
+    n = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", F.coalesce(n, F.col("n_chars")))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    return near_dups.without_near_duplicates(docs)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
     import public_tokenizers
@@ -25,7 +43,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("language", known_language), ("packing", packed)]
+STAGES = [
+    ("language", known_language),
+    ("lines", lines),
+    ("near_copies", near_copies),
+    ("benchmark", benchmark_free),
+    ("packing", packed),
+]
 
 # The tokenizer and the model are not expressible in SQL.
 ORACLE_SQL = None

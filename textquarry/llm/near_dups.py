@@ -145,6 +145,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of which one document of each group stays."""
+    judged = near_duplicates(docs, percent)
+    gone = staged(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    return docs.join(broadcast_if_small(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+
+
 def _same_id(rows: DataFrame) -> DataFrame:
     """Links between the classes of texts that share a doc_id."""
     ids = rows.where("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
