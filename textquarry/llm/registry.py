@@ -13,7 +13,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 _MODULES = (
-    "decontaminate line_templates packing token_files token_counts language near_dups vector_search "
+    "decontaminate line_templates packing token_files token_counts language suffixes near_dups vector_search "
     "url_rules"
 ).split()
 
