@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sizing import broadcast_if_small, staged
 from .registry import query, table
+from .rows import fresh
 from .words import mix, word_hashes
 from .worker import row_slices, shared, text_buffers
 
@@ -224,8 +225,10 @@ def _hits(docs: DataFrame, hashes: np.ndarray, lengths: tuple[int, ...]) -> Data
 def without_leaks(docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that overlap no benchmark item."""
     found = staged(leaks(docs, items, item_key=item_key, item_text=item_text), "leaks")
-    bad = broadcast_if_small(found.select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct())
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_leak_hash"))
+    leak_id, leak_hash = fresh(docs, "leak_id", "leak_hash")
+    bad = broadcast_if_small(found.select("doc_id", "text_hash").distinct().toDF(leak_id, leak_hash))
+    text_hash = F.xxhash64(docs["text"].cast("string"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(leak_id)) & (text_hash == F.col(leak_hash))
     return docs.join(bad, same, "left_anti")
 
 

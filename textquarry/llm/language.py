@@ -145,7 +145,7 @@ def predictor(spark: SparkSession, model: KernelModel | None) -> Callable:
     @F.pandas_udf("lang_pred string, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = KernelModel(*sent.value) if sent.value else None
-        columns = shared(("columns", key), m.columns) if m else None
+        columns = shared("gram columns", m.columns, key) if m else None
         for series in batches:
             texts = series.tolist()
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.sizing import broadcast_if_small, staged
 from .components import connected_components
 from .registry import query, table
+from .rows import fresh
 from .words import mix, shingle_sets, word_hashes
 from .worker import row_slices, shared, text_buffers
 
@@ -148,8 +149,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one document of each group stays."""
     judged = near_duplicates(docs, percent)
-    gone = staged(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(broadcast_if_small(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = staged(judged.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    return docs.join(broadcast_if_small(gone), docs["doc_id"].cast("long") == F.col(name), "left_anti")
 
 
 def _same_id(rows: DataFrame) -> DataFrame:

@@ -31,8 +31,9 @@ def frequent_pieces(docs: DataFrame, k: int = FREQUENT, tracked: int = TRACKED)
     parts = pieces.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(piece, {tracked})").alias("sketch")
     )
-    top = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {k})").alias("top")).first()
-    return sorted(x["item"] for x in top["top"] or [])
+    merged = F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {k})").alias("top")
+    top = parts.groupBy(F.lit(0).alias("all")).agg(merged).first()  # no row where there are no pieces
+    return sorted(x["item"] for x in top["top"]) if top else []
 
 
 class _Counter:
@@ -88,7 +89,7 @@ def token_counter(docs: DataFrame, tokenizer: str, frequent: int = FREQUENT) ->
                 return _Pieces(tokenizer)
             return _Counter(encoder(tokenizer), sent.value.split("\n") if sent.value else [])
 
-        counter = shared(("counter", key), make)
+        counter = shared("token counter", make, key)
         for texts in batches:
             yield pd.Series([counter.count(t) if isinstance(t, str) else 0 for t in texts], dtype="int64")
 

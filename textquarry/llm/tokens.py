@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from array import array
 from collections.abc import Iterator
 
@@ -86,8 +87,12 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece through the cache of its parts. Beyond Latin-1, where letter tables
         and normal forms could differ, the library takes the piece itself."""
-        if max(piece) > "\xff":
+        if not piece.isascii() and max(piece) > "\xff":
             return self.whole(piece)
+        stem = piece.rstrip(string.punctuation)
+        word = stem.lower() if self.kind == "words" else stem
+        if (stem[1:] if stem[:1] == " " else stem).isalpha():  # the most common pieces
+            return self.parts[word] + self.parts[piece[len(stem) :]] if len(stem) < len(piece) else self.parts[word]
         if self.kind == "words":
             parts = _WORD_PIECES.findall(piece.lower())
         else:

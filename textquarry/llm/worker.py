@@ -13,16 +13,18 @@ import pyarrow as pa
 _STORE = "_textquarry_worker_store"
 
 
-def shared(key: Any, make: Callable[[], Any]) -> Any:
+def shared(key: Any, make: Callable[[], Any], version: Any = None) -> Any:
     """A value made once per Python worker and kept between its tasks.
 
     Functions travel by value, so a module's globals are new in every task; a module object
-    in ``sys.modules`` stays for the life of the worker.
+    in ``sys.modules`` stays for the life of the worker. A new version takes the place of the
+    one before.
     """
     store = sys.modules.setdefault(_STORE, types.ModuleType(_STORE)).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if key not in store or store[key][0] != version:
+        store.pop(key, None)
+        store[key] = version, make()
+    return store[key][1]
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
