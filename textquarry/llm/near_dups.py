@@ -20,7 +20,7 @@ WORDS = 5
 PERCENT = 75
 HALVES = 16  # smaller collections; every two of them form a table
 PER_HALF = 2  # minhashes of a collection
-STAR_ROUNDS = 2
+FIRST_HALVES = 8  # collections whose tables are tried before the others
 _SLICE = 1 << 21
 _WIDE = 1 << 14
 
@@ -119,10 +119,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Equal sets form a class at once, and its smallest doc_id stands for it. Tables are keyed
     by every two of the HALVES half keys; in a table's bucket each document is a candidate
-    with the smallest one there, then with the most linked one, and at last with those that
-    are still in other components. So a group of copies costs a pair per member and bucket,
-    and no two documents that meet in a bucket are left untested or unlinked. Two documents at
-    the bound meet in none of the tables with a probability of 4 in 100 000.
+    with the smallest one there, then with the most linked one, and at last with those of
+    other components, but for pairs that have too few shingles in common with anyone. So a
+    group of copies costs a pair per member and bucket, and of two documents that meet in a
+    bucket none is left untested unless they are in one component or cannot be linked. Two
+    documents at the bound meet in none of the tables with a probability of 4 in 100 000.
     """
     signed = staged(signatures(docs), "signatures")
     node = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("doc_id"))
@@ -165,31 +166,88 @@ def _table_links(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Confirmed links between documents that meet in a table's bucket."""
     heads = rows.where("node = doc_id").select("node", "halves")
     half = [F.col("halves")[i] for i in range(HALVES)]
-    keys = [F.xxhash64(F.lit(i * HALVES + j), half[i], half[j]) for i in range(HALVES) for j in range(i)]
-    entries = heads.select("node", F.explode(F.array(*keys)).alias("key"))
+    keys = [
+        F.struct(F.lit(i >= FIRST_HALVES).alias("later"), F.xxhash64(F.lit(i * HALVES + j), half[i], half[j]).alias("key"))
+        for i in range(HALVES)
+        for j in range(i)
+    ]
+    entries = heads.select("node", F.explode(F.array(*keys)).alias("entry")).select("node", "entry.later", "entry.key")
     shared_keys = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     shared_keys = shared_keys.where("first < last").select("key", "first")
     members = staged(entries.join(shared_keys, "key"), "buckets")
-    pairs = members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    found = staged(confirmed(staged(pairs, "pairs"), docs, percent), "confirmed")
-    for turn in range(STAR_ROUNDS):
-        apart = _apart(members, found)
-        if apart is None:
-            return found
-        pairs = _to_most_linked(apart, found) if turn + 1 < STAR_ROUNDS else _across(apart)
-        found = staged(found.unionByName(confirmed(staged(pairs, "pairs"), docs, percent)).distinct(), "confirmed")
-    return found
+
+    def more(found: DataFrame, pairs: DataFrame) -> DataFrame:
+        new = confirmed(staged(pairs.distinct(), "pairs"), docs, percent)
+        return staged(found.unionByName(new).distinct(), "confirmed")
+
+    stars = members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"), "later")
+    found = staged(confirmed(staged(stars.where("NOT later").select("a", "b").distinct(), "pairs"), docs, percent), "confirmed")
+    component = connected_components(found)
+    found = more(found, _parted(stars.where("later").select("a", "b").distinct(), component))
+    apart = _apart(members, found)
+    if apart is None:
+        return found
+    apart = _linkable(apart, rows, docs, percent)
+    found = more(found, _to_most_linked(apart, found))
+    again = _apart(apart.drop("component"), found)
+    return found if again is None else more(found, _across(again, percent))
+
+
+def _with_component(nodes: DataFrame, component: DataFrame, node: str, name: str) -> DataFrame:
+    component = component.select(F.col("node").alias(node), F.col("component").alias(name))
+    joined = nodes.join(broadcast_if_small(component), node, "left")
+    return joined.withColumn(name, F.coalesce(name, node))
+
+
+def _parted(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs whose members are not in one component yet."""
+    both = _with_component(_with_component(pairs, component, "a", "ca"), component, "b", "cb")
+    return both.where("ca <> cb").select("a", "b")
 
 
 def _apart(members: DataFrame, found: DataFrame) -> DataFrame | None:
-    """(key, node, component) of the buckets that hold more than one component."""
-    component = broadcast_if_small(connected_components(found))
-    now = members.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    keys = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    apart = staged(now.join(broadcast_if_small(staged(keys.select("key"), "open-keys")), "key", "left_semi"), "open-buckets")
+    """The members of buckets that hold more than one component, with their components."""
+    apart = _with_several(_with_component(members, connected_components(found), "node", "component"))
     return apart if apart.head(1) else None
 
 
+def _with_several(now: DataFrame) -> DataFrame:
+    keys = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return staged(now.join(broadcast_if_small(staged(keys.select("key"), "open-keys")), "key", "left_semi"), "open-buckets")
+
+
+def _linkable(apart: DataFrame, rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``apart`` with sizes, without members that can have no link in their bucket.
+
+    Shingles that a document has alone among all these are in no other's set, so it shares at
+    most ``most``, the rest, with anyone. Against the smallest set of the bucket that may be
+    too little; then no pair need be tried, however large the bucket is.
+    """
+    nodes = broadcast_if_small(staged(apart.select("node").distinct(), "open-nodes"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+
+    def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in row_slices(whole, "text", _SLICE):
+                sets = shingle_sets(*word_hashes(*text_buffers(batch.column("text"))), WORDS)
+                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").take(pa.array(owner)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"]
+                )
+
+    shingles = texts.join(nodes, "node", "left_semi").mapInArrow(shingle_rows, "node long, shingle long")
+    owners = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    alone = owners.where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = rows.where("node = doc_id").groupBy("node").agg(F.min("n_shingles").alias("n"))
+    sizes = sizes.join(nodes, "node", "left_semi").join(alone, "node", "left")
+    sizes = sizes.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    sized = apart.join(broadcast_if_small(staged(sizes, "open-sizes")), "node")
+    smallest = broadcast_if_small(staged(sized.groupBy("key").agg(F.min("n").alias("smallest")), "smallest"))
+    union = F.col("n") + F.greatest("smallest", "most") - F.col("most")
+    possible = sized.join(smallest, "key").where(100 * F.col("most") >= percent * union).drop("smallest")
+    return _with_several(possible)
+
+
 def _to_most_linked(apart: DataFrame, found: DataFrame) -> DataFrame:
     """Each member with the member of its bucket that has the most links, where components differ."""
     degree = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
@@ -199,11 +257,13 @@ def _to_most_linked(apart: DataFrame, found: DataFrame) -> DataFrame:
     return _ordered(joined.select("node", F.col("top.hub").alias("other")))
 
 
-def _across(apart: DataFrame) -> DataFrame:
-    """Members of different components that share a bucket."""
-    other = apart.select("key", F.col("node").alias("other"), F.col("component").alias("other_component"))
-    joined = apart.join(other, "key").where("node < other AND component <> other_component")
-    return _ordered(joined.select("node", "other"))
+def _across(apart: DataFrame, percent: int) -> DataFrame:
+    """Members of different components that share a bucket and can be linked."""
+    other = apart.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "component", "n", "most")])
+    common = F.least("most", "other_most")
+    possible = 100 * common >= percent * (F.col("n") + F.col("other_n") - common)
+    joined = apart.join(other, "key").where(F.expr("node < other_node AND component <> other_component") & possible)
+    return _ordered(joined.select("node", F.col("other_node").alias("other")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
