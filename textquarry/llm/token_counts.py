@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .tokens import Cache, Encoder, encoder, slabs
+from .tokens import Cache, Encoder, slabs
 from .worker import shared
 
 FREQUENT = 1 << 15  # entries of the broadcast table
 TRACKED = 1 << 16  # pieces a sketch follows
+CACHED = 120_000  # other pieces in one generation of a worker's cache
 LONGEST = 48  # characters of a piece in the table
 LIMIT = 2048
 
@@ -41,7 +42,7 @@ class _Counter:
 
     def __init__(self, enc: Encoder, pieces: list[str]):
         self.enc = enc
-        self.others = Cache(lambda piece: len(enc.pieces.make(piece)) // 4)
+        self.others = Cache(lambda piece: len(enc.pieces.make(piece)) // 4, CACHED)
         others = self.others
 
         class Frequent(dict):
@@ -87,7 +88,7 @@ def token_counter(docs: DataFrame, tokenizer: str, frequent: int = FREQUENT) ->
         def make():
             if tokenizer.endswith(".model"):
                 return _Pieces(tokenizer)
-            return _Counter(encoder(tokenizer), sent.value.split("\n") if sent.value else [])
+            return _Counter(Encoder(tokenizer, CACHED), sent.value.split("\n") if sent.value else [])
 
         counter = shared("token counter", make, key)
         for texts in batches:

@@ -61,7 +61,7 @@ class Encoder:
     ``special`` strings inside a text become their tokens, as is the library's default.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = _KEPT):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -72,9 +72,9 @@ class Encoder:
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.kind = _kind(spec)
         self.model, self.letters = self.library.model, _byte_letters()
-        self.pieces = Cache(self._piece)
-        self.spaced = Cache(lambda x: self._piece(" " + x))
-        self.parts = Cache(self._part)
+        self.pieces = Cache(self._piece, kept)
+        self.spaced = Cache(lambda x: self._piece(" " + x), kept)
+        self.parts = Cache(self._part, kept)
 
     def whole(self, text: str) -> bytes:
         return _packed(self.library.encode(text, add_special_tokens=False).ids)
