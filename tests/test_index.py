@@ -57,7 +57,7 @@ def totals(df):
 
 def test_empty_store(store):
     assert store.documents().count() == 0 and store.live("postings").count() == 0
-    assert index.next_batch(store) == 0
+    assert [store.reserve(), store.reserve()] == [0, 1]
 
 
 def test_full_then_incremental_equals_rebuild(spark, store, tmp_path):
@@ -171,7 +171,7 @@ def test_vector_build_and_search(spark, store):
     )
     assert "z.md" not in {r.path for r in store.live("vectors").collect()}
     assert ("z.md", None) in {(r.path, r.error) for r in reports.stale_documents(store.documents()).collect()}
-    vector_index.build_vectors(store, make, index.next_batch(store), repo="b", dim=32)
+    vector_index.build_vectors(store, make, store.reserve(), repo="b", dim=32)
     assert store.live("vectors").where("path = 'z.md'").count() == 1
     assert store.live("vectors").where("repo = 'a'").count() == 2
     with pytest.raises(ValueError):

@@ -16,6 +16,13 @@ PLAIN = [
     ({"content": "c", "output": ["x", "y"]}, "c\n\n--SOLUTION--\n\nx\ny"),
     ({"a": "b"}, '{"a":"b"}'),
     ({"text": "ünï", "solution": ""}, "ünï"),
+    ({"note": "[x] " + "n" * 30, "more": "{" + "m" * 30}, "[x] " + "n" * 30 + "\n\n{" + "m" * 30),
+    ({"text": "false"}, "false"),
+    ({"task": "null", "answer": "0"}, "null\n\n--SOLUTION--\n\n0"),
+    ({"text": "[1, 2]"}, "[1, 2]"),
+    ({"n": 10**24, "note": "s" * 25}, "s" * 25),
+    ({"task": [], "sig": {}, "doc": 0, "text": ["a", True, None, 2]}, "a\nTrue\nNone\n2"),
+    ({"text": True, "answer": 1}, "True\n\n--SOLUTION--\n\n1"),
 ]
 RAW = [("not json", "not json"), ('{"a": 1', '{"a": 1')]
 EXOTIC = [

@@ -96,14 +96,13 @@ def test_postings(spark, files):
     assert sorted(map(tuple, pairs.collect())) == sorted(want)
     lists = postings.posting_lists(pairs, 4).collect()
     assert {(d, r.gram) for r in lists for d in r.doc_ids} == want
-    assert all(d % 4 == r.segment and r.n_docs == len(r.doc_ids) for r in lists for d in r.doc_ids)
+    assert all(d * 40503 // 256 % 4 == r.segment and r.n_docs == len(r.doc_ids) for r in lists for d in r.doc_ids)
     gone = spark.createDataFrame([(0,), (1,)], "doc_id long")
     left = postings.remove_docs(pairs, gone)
     assert {tuple(r) for r in left.collect()} == {w for w in want if w[0] > 1}
     assert postings.merge_postings(left, pairs).count() == len(want)
     assert postings.empty_postings(pairs).count() == 0
     assert postings.gram_total(pairs).first()[0] == len({g for _, g in want})
-    assert postings.segments_for(100_001) == 3
 
 
 def test_stale_grams(spark):

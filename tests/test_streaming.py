@@ -165,6 +165,29 @@ def test_stream_of_changes_keeps_an_index_current(spark, tmp_path):
         assert [(r.path, r.line) for r in hit] == [("a.py", 1)]
 
 
+def test_other_runs_may_come_between_micro_batches(spark, tmp_path):
+    """A run between two micro-batches of a stream keeps its rows, and so do both batches."""
+    store = Store(spark, str(tmp_path / "index"))
+    source, none = tmp_path / "events", spark.createDataFrame([], "repo string, path string")
+
+    def contents(keys):
+        return keys.selectExpr("repo", "path", "concat('text of ', path) AS text")
+
+    def run(rows):
+        events(spark, rows).coalesce(1).write.mode("append").parquet(str(source))
+        quiet = stream(spark, source, rows).selectExpr("repo", "path", "event_type", "ts AS last_ts")
+        apply.drain(apply.apply_stream(quiet, store, contents, checkpoint=str(tmp_path / "cp"), trigger={"availableNow": True}))
+
+    run([(0, "first.md", "created")])
+    manual = spark.createDataFrame([("r", "manual.md", "by hand")], "repo string, path string, text string")
+    index.apply_changes(store, manual, none)
+    run([(10, "second.md", "created")])
+    assert {r.path for r in store.files().collect()} == {"first.md", "manual.md", "second.md"}
+    index.apply_changes(store, manual.limit(0), none.union(spark.createDataFrame([("r", "first.md")], none.schema)))
+    run([(20, "third.md", "created")])
+    assert {r.path for r in store.files().collect()} == {"manual.md", "second.md", "third.md"}
+
+
 def test_a_failing_stream_is_raised(spark, tmp_path):
     source = tmp_path / "events"
     events(spark, [(0, "a", "modified"), (9999, "b", "modified")]).write.parquet(str(source))

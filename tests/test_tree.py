@@ -4,7 +4,9 @@ import pytest
 
 from textquarry.operators import files as file_ops
 from textquarry.operators import ignore, search
+from textquarry.plans import index
 from textquarry.sources import tree
+from textquarry.sources.store import Store
 
 FILES = {
     ".git/config": b"c", ".git/info/exclude": b"secret.txt\n", ".gitignore": b"# no\n\n*.log\n!keep.log\n", ".hidden": b"h",
@@ -48,7 +50,25 @@ def test_files_that_vanish_are_left_empty(spark, roots):
     listing = tree.list_tree(spark, roots).where("path = 'keep.log'").cache()
     assert listing.count() == 1
     os.remove(os.path.join(roots["one"], "keep.log"))
-    assert tree.read_tree(listing, tasks=1).first().content is None
+    row = tree.read_tree(listing, tasks=1).first()
+    assert row.content is None and row.error
+
+
+def test_what_cannot_be_read_is_not_deleted(spark, roots, tmp_path):
+    """A file that is there but not readable, or too large, stays as it is known."""
+    store = Store(spark, str(tmp_path / "index"))
+    texts = lambda **how: file_ops.decoded(tree.read_tree(tree.list_tree(spark, {"one": roots["one"]}), **how)).select("repo", "path", "text")
+    index.index_repositories(store, texts())
+    known = store.documents().count()
+    assert known == len(FILES)
+    totals = index.index_repositories(store, texts(max_bytes=1000)).collect()
+    assert store.documents().count() == known and not any(r.files_removed for r in totals)
+    changes = file_ops.detect_changes(store.documents(), texts(max_bytes=1000).selectExpr("*", "sha2(text, 256) AS blob_sha"))
+    assert {r.path for r in changes.where("change = 'unreadable'").collect()} == {"big.bin"}
+
+
+def test_folders_that_cannot_be_opened_are_passed_over(tmp_path):
+    assert tree._entries(str(tmp_path / "gone")) == []
 
 
 def test_rules_from_the_tree(spark, roots):

@@ -13,7 +13,6 @@ from . import fixed
 from .basics import ColumnOrName, col, let
 from .text import lines, strip
 
-_EMPTY_VALUE = r"\A(?:\[\]|\{\}|false|0|0\.0|null)?\z"
 _NOTEBOOK = "struct<cells:array<struct<cell_type:string,source:string>>>"
 
 
@@ -48,39 +47,38 @@ def canonical_record(line: ColumnOrName, include_solution: Column | bool = True)
 
     The first non-empty main field, signature and documentation field are joined by blank
     lines; without any, every long string value is. A solution field may follow. Lines that
-    are not JSON objects are taken as they are.
+    are not JSON objects are taken as they are, and so are objects without any of these.
 
-    Values are read as strings; lists of the main and solution fields are joined by line
-    breaks. Numbers, booleans and nested objects keep their JSON spelling; use
-    :func:`canonical_record_exact` where those must read as Python would print them.
+    Values keep their JSON types: empty are the empty string, list and object, zero, false
+    and null, but not a string that reads like one of these, and only strings are free text.
+    Lists of the main and solution fields are joined by line breaks. Booleans read True and
+    False; lists elsewhere and nested objects keep their JSON spelling, for which
+    :func:`canonical_record_exact` gives Python's.
     """
     raw = col(line)
     keep_solution = F.lit(include_solution) if isinstance(include_solution, bool) else include_solution
 
     def build(m: Column) -> Column:
-        def first(keys) -> Column:
+        def first(keys, listed: bool = False) -> Column:
             named = F.transform(F.split(F.lit(",".join(keys)), ","), lambda k: F.try_element_at(m, k))
-            kept = F.filter(named, lambda v: v.isNotNull() & ~F.rlike(v, F.lit(_EMPTY_VALUE)))
-            return F.try_element_at(kept, F.lit(1))
-
-        def joined(v: Column) -> Column:
-            items = F.from_json(v, "array<string>")
-            is_list = F.startswith(v, F.lit("[")) & items.isNotNull()
-            return F.when(is_list, F.array_join(items, "\n")).otherwise(v)
+            kept = F.filter(named, lambda v: v.isNotNull() & ~_empty(v))
+            shown = F.transform(F.slice(kept, 1, 1), lambda v: _joined(v) if listed else _shown(v))
+            return F.try_element_at(shown, F.lit(1))
 
         parts = F.array_compact(
             F.array(
-                joined(first(fixed.RECORD_MAIN_FIELDS)),
+                first(fixed.RECORD_MAIN_FIELDS, True),
                 first(fixed.RECORD_SIGNATURE_FIELDS),
                 first(fixed.RECORD_DOC_FIELDS),
             )
         )
+        strings = F.filter(F.map_values(m), lambda v: _kind(v) == "STRING")
         free_text = F.filter(
-            F.map_values(m),
-            lambda v: (F.length(v) > fixed.RECORD_MIN_FREE_TEXT) & ~F.rlike(v, F.lit(r"\A[\[{]")),
+            F.transform(strings, lambda v: v.cast("string")),
+            lambda v: F.length(v) > fixed.RECORD_MIN_FREE_TEXT,
         )
         chosen = F.when(F.size(parts) > 0, parts).otherwise(free_text)
-        solution = joined(first(fixed.RECORD_SOLUTION_FIELDS))
+        solution = first(fixed.RECORD_SOLUTION_FIELDS, True)
         ending = F.when(
             keep_solution & solution.isNotNull(), F.concat(F.lit(fixed.SOLUTION_MARK), solution)
         ).otherwise(F.lit(""))
@@ -92,11 +90,42 @@ def canonical_record(line: ColumnOrName, include_solution: Column | bool = True)
         )
 
     return let(
-        F.from_json(raw, "map<string,string>"),
+        F.from_json(raw, "map<string,variant>"),
         lambda m: F.when(m.isNull(), raw).otherwise(build(m)),
     )
 
 
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+
+def _empty(v: Column) -> Column:
+    kind = _kind(v)
+    return (
+        F.when(kind == "STRING", v.cast("string") == "")
+        .when(kind == "BOOLEAN", v.cast("string") == "false")
+        .when(F.startswith(kind, F.lit("ARRAY")), F.size(F.try_variant_get(v, "$", "array<variant>")) == 0)
+        .when(F.startswith(kind, F.lit("OBJECT")), kind == "OBJECT<>")
+        .when(kind == "VOID", F.lit(True))
+        .otherwise(v.cast("double") == 0)
+    )
+
+
+def _shown(v: Column) -> Column:
+    kind = _kind(v)
+    return (
+        F.when(kind == "BOOLEAN", F.initcap(v.cast("string")))
+        .when(kind == "VOID", F.lit("None"))
+        .otherwise(v.cast("string"))
+    )
+
+
+def _joined(v: Column) -> Column:
+    items = F.try_variant_get(v, "$", "array<variant>")
+    joined = F.array_join(F.transform(items, lambda x: F.coalesce(_shown(x), F.lit("None"))), "\n")
+    return F.when(F.startswith(_kind(v), F.lit("ARRAY")), joined).otherwise(_shown(v))
+
+
 def _python_record(line: str, keep_solution: bool) -> str:
     try:
         obj = json.loads(line)

@@ -95,19 +95,33 @@ def list_repos(repos: DataFrame) -> DataFrame:
 def blobs_of(files: DataFrame) -> DataFrame:
     """One row per distinct content: (blob_sha, text).
 
-    The copies of a content are folded in each task before the shuffle, however many files
-    share it.
+    Copies are found on hashes and keys alone, and the texts that are copies of another are
+    taken out; no text is shuffled while the keys of the copies are few. Files without a text
+    have no blob.
     """
-    return (
-        files.select(content_hash("text").alias("blob_sha"), "text")
-        .groupBy("blob_sha")
-        .agg(F.any_value("text").alias("text"))
-    )
+    keys = ["doc_id"] if "doc_id" in files.columns else DOC_KEY
+    rows = files.where(F.col("text").isNotNull()).select(*keys, content_hash("text").alias("blob_sha"), "text")
+    return first_blobs(rows, keys).select("blob_sha", "text")
+
+
+def first_blobs(rows: DataFrame, keys: list[str], stored: DataFrame | None = None) -> DataFrame:
+    """Of rows (keys, blob_sha, ...) with unique keys one for each content, and none whose
+    content is among the ``stored`` (blob_sha)."""
+    hashes = rows.select(F.struct(*keys).alias("key"), "blob_sha")
+    first = hashes.groupBy("blob_sha").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = hashes.join(first.where("n > 1"), "blob_sha").where("key <> first").select("key.*")
+    if stored is not None:
+        known = hashes.join(stored.select("blob_sha").distinct(), "blob_sha", "left_semi")
+        copies = copies.unionByName(known.select("key.*")).distinct()
+    return rows.join(broadcast_if_small(copies), keys, "left_anti")
 
 
 def new_blobs(blobs: DataFrame, stored: DataFrame) -> DataFrame:
-    """Write-once: the blobs not yet stored."""
-    return blobs.join(stored.select("blob_sha"), "blob_sha", "left_anti")
+    """Write-once: the blobs not yet stored. Hashes meet first, so that texts are shuffled
+    only where very many of them are stored already."""
+    hashes = stored.select("blob_sha").distinct()
+    known = blobs.select("blob_sha").join(hashes, "blob_sha", "left_semi")
+    return blobs.join(broadcast_if_small(known), "blob_sha", "left_anti")
 
 
 def read_blobs(documents: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -231,12 +245,17 @@ def list_entries(
 
 
 def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(repo, path, change) with change new / changed / unchanged / deleted, by content hash."""
-    o = old.select(*DOC_KEY, F.col("blob_sha").alias("old_sha"))
-    n = new.select(*DOC_KEY, F.col("blob_sha").alias("new_sha"))
+    """(repo, path, change) with change new / changed / unchanged / deleted, by content hash.
+
+    A file that is there without a hash could not be read: its change is ``unreadable``,
+    whatever is known of it.
+    """
+    o = old.select(*DOC_KEY, F.col("blob_sha").alias("old_sha"), F.lit(True).alias("was"))
+    n = new.select(*DOC_KEY, F.col("blob_sha").alias("new_sha"), F.lit(True).alias("is"))
     change = (
-        F.when(F.col("old_sha").isNull(), "new")
-        .when(F.col("new_sha").isNull(), "deleted")
+        F.when(F.col("is").isNull(), "deleted")
+        .when(F.col("new_sha").isNull(), "unreadable")
+        .when(F.col("was").isNull(), "new")
         .when(F.col("old_sha") == F.col("new_sha"), "unchanged")
         .otherwise("changed")
     )

@@ -21,6 +21,9 @@ from .sizing import broadcast_if_small
 
 _FLUSH = 1 << 20  # gram rows per output batch
 
+SEGMENTS = 64
+
+
 
 def _gram_strings(keys: np.ndarray) -> pa.Array:
     """Packed grams (three 21-bit code points) to strings, each distinct gram built once."""
@@ -92,21 +95,20 @@ def gram_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("gram").agg(F.count("*").alias("n_docs"))
 
 
-def posting_lists(pairs: DataFrame, n_segments: int) -> DataFrame:
-    """(gram, segment, doc_ids sorted, n_docs): postings cut by ``doc_id mod n_segments``."""
+def posting_lists(pairs: DataFrame, n_segments: int = SEGMENTS) -> DataFrame:
+    """(gram, segment, doc_ids sorted, n_docs): postings cut into a fixed number of segments
+    by a mixed residue of the document id, so that keys stay as they are when the table grows
+    and ids with a stride spread evenly. Take more segments for more documents: a common
+    gram's array has about documents / segments ids."""
+    mixed = F.pmod(F.col("doc_id"), F.lit(1_000_003)) * 40_503
     return (
-        pairs.withColumn("segment", F.pmod(F.col("doc_id"), F.lit(n_segments)))
+        pairs.withColumn("segment", F.pmod(F.floor(mixed / 256), F.lit(n_segments)))
         .groupBy("gram", "segment")
         .agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
         .withColumn("n_docs", F.size("doc_ids").cast("long"))
     )
 
 
-def segments_for(n_docs: int, per_segment: int = 50_000) -> int:
-    """Segments that keep each posting array at about ``per_segment`` ids."""
-    return max(1, -(-n_docs // per_segment))
-
-
 def gram_total(pairs: DataFrame, approximate: bool = False) -> DataFrame:
     count = F.approx_count_distinct("gram") if approximate else F.countDistinct("gram")
     return pairs.agg(count.alias("trigrams"))

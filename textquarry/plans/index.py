@@ -19,12 +19,6 @@ from .vector_index import build_vectors
 KEY = ["repo", "path"]
 
 
-def next_batch(store: Store) -> int:
-    """One above the newest batch."""
-    newest = store.log("documents").agg(F.max("batch").alias("n")).first()["n"]
-    return 0 if newest is None else newest + 1
-
-
 def index_repositories(
     store: Store,
     files: DataFrame,
@@ -40,25 +34,34 @@ def index_repositories(
     of them again. With ``full_scan``, documents of the scanned repos that are no longer in
     ``files`` are removed. Returns the run's totals per repo.
 
-    Changes are found on keys and hashes alone and written down; when they are few, the
-    second pass over the texts picks them with a broadcast and never shuffles a text.
+    A file without a text could not be read and stays as it is known. The first run, when
+    nothing is known, reads the files once. Later runs read them once for their hashes, which
+    are written down, and find changes on these; when they are few, the second pass over the
+    texts picks them with a broadcast and never shuffles a text.
     """
-    batch = next_batch(store) if batch is None else batch
+    batch = store.reserve("index") if batch is None else batch
     known = store.documents(before=batch)
     if repos is not None:
         files = files.where(F.col("repo").isin(*repos))
         known = known.where(F.col("repo").isin(*repos))
     scanned = files.select(*KEY, "text").withColumn("blob_sha", content_hash("text"))
+    readable = scanned.where(F.col("text").isNotNull())
+    if not known.head(1):
+        return _apply(store, batch, readable, None)
+    hashes = store.folder("changes", batch)
+    scanned.select(*KEY, "blob_sha").write.mode("overwrite").parquet(hashes)
+    seen = store.spark.read.parquet(hashes)
     if repos is None:
-        known = known.join(broadcast_if_small(scanned.select("repo").distinct()), "repo", "left_semi")
-    log = store.folder("changes", batch)
-    changes = file_ops.detect_changes(known, scanned)
-    changes.where(F.lit(force) | (F.col("change") != "unchanged")).write.mode("overwrite").parquet(log)
-    changes = store.spark.read.parquet(log)
-    fresh = changes.where(F.col("change") != "deleted").select(*KEY)
-    todo = scanned.join(broadcast_if_small(fresh), KEY, "left_semi")
+        known = known.join(broadcast_if_small(seen.select("repo").distinct()), "repo", "left_semi")
+    changes = file_ops.detect_changes(known, seen)
+    todo = readable
+    if not force:
+        fresh = changes.where(F.col("change").isin("new", "changed")).select(*KEY)
+        todo = readable.join(broadcast_if_small(fresh), KEY, "left_semi")
     removed = changes.where(F.col("change") == "deleted").select(*KEY) if full_scan else None
-    return _apply(store, batch, todo, removed)
+    totals = _apply(store, batch, todo, removed)
+    store.discard("changes", batch)
+    return totals
 
 
 def apply_changes(
@@ -69,11 +72,12 @@ def apply_changes(
     The micro-batch form of an index run. Files whose content is what is already stored are
     left alone, and unknown removals do nothing.
     """
-    batch = next_batch(store) if batch is None else batch
+    batch = store.reserve("changes") if batch is None else batch
     known = store.documents(before=batch).select(*KEY, F.col("blob_sha").alias("old_sha"))
-    todo = changed.select(*KEY, "text").withColumn("blob_sha", content_hash("text"))
+    todo = changed.where(F.col("text").isNotNull()).select(*KEY, "text").withColumn("blob_sha", content_hash("text"))
+    near = known.join(broadcast_if_small(changed.select(*KEY).distinct()), KEY, "left_semi")
     todo = (
-        todo.join(known, KEY, "left")
+        todo.join(broadcast_if_small(near), KEY, "left")
         .where(F.col("old_sha").isNull() | (F.col("old_sha") != F.col("blob_sha")))
         .drop("old_sha")
     )
@@ -83,7 +87,7 @@ def apply_changes(
 
 def remove_files(store: Store, removed: DataFrame, batch: int | None = None) -> DataFrame:
     """Drop files with all that derives from them; returns (repo, path, removed)."""
-    batch = next_batch(store) if batch is None else batch
+    batch = store.reserve("removals") if batch is None else batch
     known = store.documents(before=batch).select(*KEY, F.lit(True).alias("known"))
     outcome = (
         removed.select(*KEY)
@@ -108,9 +112,8 @@ def _apply(store: Store, batch: int, todo: DataFrame, removed: DataFrame | None)
     staged.write.mode("overwrite").parquet(stage)
     rows = store.spark.read.parquet(stage)
 
-    blobs = rows.groupBy("blob_sha").agg(F.any_value("text").alias("text"))
     earlier = store.log("blobs").where(F.col("batch") < batch)
-    store.write("blobs", batch, file_ops.new_blobs(blobs, earlier))
+    store.write("blobs", batch, file_ops.first_blobs(rows, ["doc_id"], earlier))
     # No shuffle here: each task sorts its own grams, and compaction lays them out by range.
     store.write(
         "postings", batch, postings.gram_pairs(rows).sortWithinPartitions("gram", "doc_id")
@@ -130,6 +133,7 @@ def _apply(store: Store, batch: int, todo: DataFrame, removed: DataFrame | None)
             removed.select(*KEY, F.lit(True).alias("deleted")), allowMissingColumns=True
         )
     store.write("documents", batch, documents)
+    store.discard("staged", batch)  # the blobs have its texts
     return run_stats(store, batch)
 
 
@@ -182,6 +186,8 @@ def rebuild(
     """Index all repos from nothing into a new folder, and embed them too when a model is
     given; returns the new store and the run's totals per repo."""
     fresh = Store(store.spark, target)
+    if fresh.log("documents").head(1):
+        raise ValueError(f"{target} already holds an index")
     totals = index_repositories(fresh, files, force=True, batch=0)
     if make_embed is not None:
         build_vectors(fresh, make_embed, 1, dim=dim)

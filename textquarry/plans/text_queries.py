@@ -103,15 +103,14 @@ def search_ids(spark, folder):
 
 @query(
     "trigram_postings",
-    f"""WITH {grams_of('documents')}, seg AS (
-  SELECT greatest(1, CAST(ceil(count(*) / 50000.0) AS BIGINT)) AS n FROM documents)
-SELECT gram, doc_id % n AS segment, string_agg(CAST(doc_id AS STRING), ',' ORDER BY doc_id) AS doc_ids,
-  count(*) AS n_docs
-FROM pairs, seg GROUP BY gram, doc_id % n""",
+    f"""WITH {grams_of('documents')}, placed AS (
+  SELECT gram, doc_id, ((doc_id % 1000003) * 40503 // 256) % {postings.SEGMENTS} AS segment FROM pairs)
+SELECT gram, segment, string_agg(CAST(doc_id AS STRING), ',' ORDER BY doc_id) AS doc_ids, count(*) AS n_docs
+FROM placed GROUP BY gram, segment""",
 )
 def trigram_postings(spark, folder):
     docs = tables.table(spark, folder, "documents")
-    lists = postings.posting_lists(postings.gram_pairs(docs), postings.segments_for(docs.count()))
+    lists = postings.posting_lists(postings.gram_pairs(docs))
     return lists.withColumn("doc_ids", F.array_join("doc_ids", ","))
 
 

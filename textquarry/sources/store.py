@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 from ..operators.sizing import broadcast_if_small
 
 TABLES = {
+    "runs": "note string",
     "documents": (
         "doc_id bigint, repo string, path string, blob_sha string, size bigint, language string, "
         "deleted boolean, content_batch int, vector_batch int, vector_indexed_at timestamp, "
@@ -42,6 +43,27 @@ class Store:
         base = f"{self.root}/{table}"
         return base if batch is None else f"{base}/batch={batch}"
 
+    def reserve(self, note: str = "") -> int:
+        """A batch number that no run has used or begun to use. Each number is claimed by a
+        folder of its own, so two runs at a time do not get the same one."""
+        used = [self.log(t).agg(F.max("batch").alias("n")).first()["n"] for t in ("runs", "documents")]
+        batch = max([-1, *(n for n in used if n is not None)]) + 1
+        while True:
+            try:
+                claim = self.spark.createDataFrame([(note,)], TABLES["runs"])
+                claim.write.mode("error").parquet(self.folder("runs", batch))
+                return batch
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_ALREADY_EXISTS":
+                    raise
+                batch += 1
+
+    def discard(self, table: str, batch: int) -> None:
+        """Remove a batch's folder of a table that only helped to write others."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder(table, batch))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def write(self, table: str, batch: int, rows: DataFrame) -> None:
         fields = self.spark.createDataFrame([], TABLES[table]).schema
         columns = [

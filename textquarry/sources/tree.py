@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 LISTING = "repo string, path string, size bigint, root string"
+_LISTING_NAMES = [x.split()[0] for x in LISTING.split(", ")]
 
 
 class _Listing(InputPartition):
@@ -59,24 +60,37 @@ class _TreeReader(DataSourceReader):
             deeper = []
             for repo, root, folder in open_parts:
                 done.append(_Listing(repo, root, folder, False))
-                with os.scandir(folder) as entries:
-                    deeper += [
-                        (repo, root, e.path) for e in entries if e.is_dir(follow_symlinks=False)
-                    ]
+                deeper += [(repo, root, e.path) for e in _entries(folder) if e.is_dir(follow_symlinks=False)]
             open_parts = deeper
         return done + [_Listing(*p, True) for p in open_parts]
 
-    def read(self, part: _Listing) -> Iterator[tuple]:
+    def read(self, part: _Listing) -> Iterator[pa.RecordBatch]:
         folders = [part.folder]
         while folders:
-            folder = folders.pop()
-            with os.scandir(folder) as entries:
-                for e in entries:
-                    if e.is_dir(follow_symlinks=False):
-                        if part.deep:
-                            folders.append(e.path)
-                    elif e.is_file():
-                        yield (part.repo, os.path.relpath(e.path, part.root), e.stat().st_size, part.root)
+            rows = []
+            for e in _entries(folders.pop()):
+                if e.is_dir(follow_symlinks=False):
+                    if part.deep:
+                        folders.append(e.path)
+                    continue
+                try:
+                    if e.is_file():
+                        rows.append((part.repo, os.path.relpath(e.path, part.root), e.stat().st_size, part.root))
+                except OSError:
+                    continue  # gone since the folder was read
+            if rows:
+                columns = zip(*rows)
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _LISTING_NAMES)
+
+
+def _entries(folder: str) -> list[os.DirEntry]:
+    """Entries of a folder; none where it may not be opened or is gone."""
+    try:
+        with os.scandir(folder) as entries:
+            return list(entries)
+    except OSError:
+        return []
 
 
 def list_tree(spark: SparkSession, roots: dict[str, str], partitions: int = 64) -> DataFrame:
@@ -93,39 +107,46 @@ def list_tree(spark: SparkSession, roots: dict[str, str], partitions: int = 64)
 
 
 def read_tree(listing: DataFrame, tasks: int | None = None, max_bytes: int | None = None) -> DataFrame:
-    """Add ``content`` to listed files; files above ``max_bytes`` keep a null content."""
+    """Add ``content`` and ``error`` to listed files.
+
+    A file above ``max_bytes``, or one that is gone or cannot be read, has a null content and
+    says why in ``error``; :func:`operators.files.detect_changes` does not take it for deleted.
+    """
     spread = listing.repartition(tasks) if tasks else listing.repartition(F.col("repo"), F.col("path"))
-    schema = T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType())])
+    schema = T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
     names = listing.columns
     at = {c: names.index(c) for c in ("root", "path", "size")}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*[batch.column(at[c]).to_pylist() for c in ("root", "path", "size")])
-            start, held, content = 0, 0, []
+            start, held, content, errors = 0, 0, [], []
             for root, path, size in rows:
-                data = None
-                if max_bytes is None or size <= max_bytes:
+                data, error = None, None
+                if max_bytes is not None and size > max_bytes:
+                    error = f"larger than {max_bytes} bytes"
+                else:
                     try:
                         with open(os.path.join(root, path), "rb") as f:
                             data = f.read()
-                    except OSError:
-                        data = None  # gone or unreadable since it was listed
+                    except OSError as e:
+                        error = e.strerror or type(e).__name__
                 content.append(data)
+                errors.append(error)
                 held += len(data or b"")
                 if held > 64 << 20:
-                    yield _with_content(batch, start, content, names)
-                    start, held, content = start + len(content), 0, []
+                    yield _with_content(batch, start, content, errors, names)
+                    start, held, content, errors = start + len(content), 0, [], []
             if content:
-                yield _with_content(batch, start, content, names)
+                yield _with_content(batch, start, content, errors, names)
 
     return spread.mapInArrow(read, schema)
 
 
-def _with_content(batch: pa.RecordBatch, start: int, content: list, names: list[str]):
+def _with_content(batch: pa.RecordBatch, start: int, content: list, errors: list, names: list[str]):
     part = batch.slice(start, len(content))
     return pa.RecordBatch.from_arrays(
-        [*part.columns, pa.array(content, pa.binary())], [*names, "content"]
+        [*part.columns, pa.array(content, pa.binary()), pa.array(errors, pa.string())], [*names, "content", "error"]
     )
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
-from ..plans.index import apply_changes, next_batch
+from ..plans.index import apply_changes
 from ..session import shared_folder
 from ..sources.store import Store
 
@@ -25,21 +27,23 @@ def apply_stream(
 
     ``contents`` turns a set of (repo, path) into (repo, path, text) rows of the files that
     exist now. A path may be quiet more than once within a micro-batch; its last change
-    counts. Batch numbers of the stream follow on those in the store, so a micro-batch that
-    is tried again writes the same folders again.
+    counts. Each micro-batch reserves an unused batch of the store when it begins and notes it
+    beside the checkpoint, so that one that is tried again writes the same folders again, and
+    other runs on the store may come in between.
     """
     spark = store.spark
-    checkpoint = checkpoint or shared_folder(spark, "apply-checkpoint")
-    base = _first_batch(store, checkpoint)
+    checkpoint = checkpoint or shared_folder(spark, f"apply-checkpoint-{uuid.uuid4().hex[:12]}")
 
     def one_batch(rows: DataFrame, epoch: int) -> None:
-        log = store.folder("stream", base + epoch)
+        batch = _batch_of(store, checkpoint, epoch)
+        log = store.folder("stream", batch)
         last = rows.groupBy("repo", "path").agg(F.max_by("event_type", "last_ts").alias("event_type"))
         last.write.mode("overwrite").parquet(log)
         last = spark.read.parquet(log)
         gone = last.where(F.col("event_type") == "deleted").select("repo", "path")
         there = last.where(F.col("event_type") != "deleted").select("repo", "path")
-        apply_changes(store, contents(there), gone, batch=base + epoch)
+        apply_changes(store, contents(there), gone, batch=batch)
+        store.discard("stream", batch)
 
     writer = (
         changes.writeStream.outputMode("append")
@@ -49,23 +53,23 @@ def apply_stream(
     return writer.trigger(**(trigger or {"processingTime": "2 seconds"})).start()
 
 
-def _first_batch(store: Store, checkpoint: str) -> int:
-    """The store batch of the stream's first micro-batch, remembered beside the checkpoint so
-    that a restarted stream goes on numbering where it began."""
-    note = f"{checkpoint.rstrip('/')}-base"
+def _batch_of(store: Store, checkpoint: str, epoch: int) -> int:
+    """The store batch of a micro-batch: the one noted when it was first tried, else a new one."""
+    note = f"{checkpoint.rstrip('/')}-batches/epoch={epoch}"
     spark = store.spark
     try:
-        return spark.read.parquet(note).first()["base"]
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.parquet(note).first()["batch"]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    base = next_batch(store)
-    spark.range(1).select(F.lit(base).alias("base")).write.mode("overwrite").parquet(note)
-    return base
+    batch = store.reserve(f"{checkpoint} {epoch}")
+    spark.range(1).select(F.lit(batch).alias("batch")).write.parquet(note)
+    return batch
 
 
-def drain(query: StreamingQuery, timeout: float = 600.0) -> None:
-    """Wait for a stream that stops by itself; a failure of the stream is raised."""
-    if not query.awaitTermination(timeout):
+def drain(query: StreamingQuery, timeout: float | None = None) -> None:
+    """Wait for a stream that stops by itself, as long as it takes unless a ``timeout`` in
+    seconds is given; a failure of the stream is raised."""
+    if not query.awaitTermination(timeout) and timeout is not None:
         query.stop()
         raise TimeoutError("the stream did not finish in time")
