@@ -21,7 +21,7 @@ from .worker import shared
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _SPACE_RUNS = [c + " " for c in " \n\t\r\x0b\x0c"]  # a space after these is not always a cut
 _LONGEST = 48  # characters of a piece that is kept
-_KEPT = 500_000  # pieces in one generation of a cache
+_KEPT = 300_000  # pieces in one generation of a cache
 _SLAB = 1 << 19  # characters of a text encoded at once
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")

@@ -11,7 +11,7 @@ from .worker import shared
 _BREAKS = (0x20, *range(0x09, 0x0E))
 _BARE = tuple(b for b in range(128) if not chr(b).isalnum())
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SLAB = 1 << 21
+_SLAB = 1 << 20
 _M64 = (1 << 64) - 1
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 _STORE = "_textquarry_worker_store"
+_KEPT = 4
 
 
 def shared(key: Any, make: Callable[[], Any], version: Any = None) -> Any:
@@ -18,13 +19,19 @@ def shared(key: Any, make: Callable[[], Any], version: Any = None) -> Any:
 
     Functions travel by value, so a module's globals are new in every task; a module object
     in ``sys.modules`` stays for the life of the worker. A new version takes the place of the
-    one before.
+    one before, and only the values used last are kept, so what one operator held goes when a
+    worker turns to another.
     """
-    store = sys.modules.setdefault(_STORE, types.ModuleType(_STORE)).__dict__
-    if key not in store or store[key][0] != version:
-        store.pop(key, None)
-        store[key] = version, make()
-    return store[key][1]
+    module = sys.modules.setdefault(_STORE, types.ModuleType(_STORE))
+    store = module.__dict__.setdefault("values", {})
+    held = store.pop(key, None)
+    if held is None or held[0] != version:
+        held = None
+        while len(store) >= _KEPT:
+            store.pop(next(iter(store)))
+        held = version, make()
+    store[key] = held
+    return held[1]
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
