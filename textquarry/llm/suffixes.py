@@ -155,8 +155,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     found = _occurrences(keyed)
     repeated = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    repeated = broadcast_if_small(staged(repeated, "anchors"))
-    met = found.join(repeated, "hash")
+    met = staged(found.join(repeated, "hash"), "met")
 
     contexts = met.groupBy("hash", "context").agg(F.min("doc").alias("first"))
     contexts = staged(contexts, "contexts")
