@@ -77,9 +77,9 @@ def read_shard(content: bytes | memoryview) -> tuple[list[int | None], np.ndarra
     for name, (dtype, n) in header["sections"].items():
         part[name] = np.frombuffer(content, dtype, n, at)
         at += part[name].nbytes
-    ids = simple8b.decode(part["words"], part["block_words"], header["n_ids"])
+    ids = simple8b.decode(part["words"], part["block_words"], header["n_ids"], np.uint32)
     doc_ids = [d if k else None for d, k in zip(part["doc_id"].tolist(), part["known"].tolist())]
-    return doc_ids, part["n_tokens"].astype(np.int64), ids.astype("<u4")
+    return doc_ids, part["n_tokens"].astype(np.int64), ids.astype("<u4", copy=False)
 
 
 def write_token_files(
