@@ -129,3 +129,23 @@ def test_moves(spark):
     moved = semantic.move_metadata(rows, moves)
     assert [tuple(r) for r in semantic.alignment(moved, known).collect()] == [("b", 1)]
     assert moved.where(F.col("repo") == "b").count() == 1
+
+
+def test_partitions_pass_on_pools_only(spark):
+    """However repos are mixed in batches, a partition sends no more than the pool of each."""
+    df, rows = cloud(spark, 3000, 200)
+    df = df.repartition(3)
+    asked = spark.createDataFrame([(q, rows[q][2]) for q in range(5)], "query_id int, vector array<float>")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        scored = semantic._score(df, asked, 2, "vector", ("chunk_id",))
+        per_group = scored.groupBy(F.spark_partition_id().alias("p"), "query_id", "repo").count()
+        assert scored.count() <= 3 * 200 * 5 * 2 and per_group.where("count > 2").count() == 0
+        got = {}
+        for r in semantic.nearest(df, asked, 2).collect():
+            got.setdefault(r.query_id, set()).add(r.chunk_id)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for q in range(5):
+        assert got[q] == {i for _, i in brute_pool(rows, rows[q][2], 2)}

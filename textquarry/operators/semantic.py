@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fixed, vectors
-from .sizing import broadcast_if_small
+from .sizing import broadcast_if_small, staged
 
 QUERIES_PER_PASS = 4096
 # Copies of a vector must tie whatever row of a matrix product they came from.
 DISTANCE_DECIMALS = 9
 _BLOCK = 1 << 22  # distances held at once per task
+_HELD = 1 << 17  # candidate rows held at least before they are cut again
 # Spark cuts groups before the shuffle only for ranks up to its window group limit; larger
 # pools first rank inside salted sub-groups.
 _GROUP_LIMIT = 1000
@@ -61,10 +63,10 @@ def nearest(
     """The ``pool`` nearest chunks per query and repo: chunk columns, query_id, distance.
 
     ``queries`` has (query_id, vector). Distance is one minus cosine similarity; a vector of
-    another length is at distance 1. Each task scores its chunks against the query matrix
-    and passes on only the nearest rows of every Arrow batch, so what is shuffled does not
-    grow with the number of pairs. Queries beyond one pass are split by a hash of their id
-    into more passes over the chunks.
+    another length is at distance 1. Each task scores its chunks against the query matrix,
+    holds the nearest rows of every query and repo through its whole partition, and passes
+    them on at the end: at most repos * queries * ``pool`` rows a partition. Queries beyond
+    one pass are split by a hash of their id into more passes over the chunks.
     """
     total = queries.count()
     passes = max(1, -(-total // QUERIES_PER_PASS))
@@ -107,26 +109,36 @@ def _score(
     repo_at = kept.index("repo")
     ties = [kept.index(c) for c in order]
 
-    def nearest_in(batch: pa.RecordBatch, row_groups, distance: np.ndarray) -> np.ndarray:
-        """Rows among the ``pool`` nearest of their repo, ties settled by the order columns."""
+    def nearest_in(row_groups, distance: np.ndarray) -> np.ndarray:
+        """Rows that can be among the ``pool`` nearest of their repo; ties all stay."""
         keep = []
         for rows in row_groups:
             if len(rows) > pool:
                 d = distance[rows]
                 rows = rows[d <= np.partition(d, pool - 1)[pool - 1]]
-                if len(rows) > pool:
-                    keys = {"d": pa.array(distance[rows])}
-                    keys |= {f"t{i}": batch.column(i).take(pa.array(rows)) for i in ties}
-                    ranked = pc.sort_indices(
-                        pa.table(keys), sort_keys=[(k, "ascending") for k in keys]
-                    )
-                    rows = rows[np.asarray(ranked)[:pool]]
             keep.append(rows)
         return np.concatenate(keep)
 
+    def cut(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        """The ``pool`` nearest rows of each query and repo, ties settled by the order columns."""
+        rows = pa.Table.from_batches(held).combine_chunks()
+        names = [f"c{i}" for i in range(rows.num_columns)]
+        rows = rows.rename_columns(names)
+        by = [names[-2], names[repo_at], names[-1], *(names[i] for i in ties)]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in by]))
+        codes = [rows.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() for c in by[:2]]
+        head = np.ones(rows.num_rows, bool)
+        head[1:] = (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])
+        places = np.arange(rows.num_rows)
+        places -= np.maximum.accumulate(np.where(head, places, 0))
+        rows = rows.filter(pa.array(places < pool)).rename_columns([*kept, "query_id", "distance"])
+        return rows.combine_chunks().to_batches()
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not ids:
             return
+        held: list[pa.RecordBatch] = []
+        n_held, limit = 0, _HELD
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -140,16 +152,25 @@ def _score(
                 distance = np.round(1.0 - m @ unit_queries[at : at + step].T, DISTANCE_DECIMALS)
                 distance[~good] = 1.0
                 for j in range(distance.shape[1]):
-                    rows = nearest_in(rest, groups, distance[:, j])
+                    rows = nearest_in(groups, distance[:, j])
                     index = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *[c.take(index) for c in rest.columns],
-                            pa.array([ids[at + j]] * len(rows), id_arrow),
-                            pa.array(distance[rows, j]),
-                        ],
-                        [*kept, "query_id", "distance"],
+                    held.append(
+                        pa.RecordBatch.from_arrays(
+                            [
+                                *[c.take(index) for c in rest.columns],
+                                pa.array([ids[at + j]] * len(rows), id_arrow),
+                                pa.array(distance[rows, j]),
+                            ],
+                            [*kept, "query_id", "distance"],
+                        )
                     )
+                    n_held += len(rows)
+                    if n_held > limit:
+                        held = cut(held)
+                        n_held = sum(b.num_rows for b in held)
+                        limit = max(_HELD, 2 * n_held)
+        if held:
+            yield from cut(held)
 
     return chunks.select(vector, *kept).mapInArrow(score, schema)
 
@@ -196,11 +217,27 @@ def semantic_search(
             raise ValueError(f"unknown repo {repo!r}")
         chunks = chunks.where(F.col("repo") == repo)
     pool = pool_size(k, candidate_limit, code_only, prefer_code)
-    ranked = rerank(nearest(chunks, queries, pool, vector=vector, order=order), prefer_code=prefer_code)
+    # Only what ranks goes through the pools; the winners fetch the rest.
+    key = list(dict.fromkeys(["repo", *order]))
+    flags = [c for c in chunks.columns if c.startswith("is_") and c not in key]
+    narrow = chunks.select(*key, *flags, vector)
+    ranked = rerank(nearest(narrow, queries, pool, vector=vector, order=order), prefer_code=prefer_code)
     if code_only:
         ranked = ranked.where(F.col("language_authoritative"))
     by = [F.desc("score"), F.col("distance"), F.col("repo"), *map(F.col, order)]
-    return _top(ranked, ["query_id"], by, k)
+    best = _top(ranked, ["query_id"], by, k)
+    more = [c for c in chunks.columns if c not in (*key, *flags, vector)]
+    if not more:
+        return best
+    best = staged(best, "winners")
+    match = lambda a, b: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in key))
+    wanted = broadcast_if_small(best.select(*key).distinct())
+    rest = chunks.select(*key, *more)
+    rest = staged(rest.join(wanted, match(rest, wanted), "left_semi"), "winners-rest")
+    joined = best.join(rest, match(best, rest), "left")
+    made = [c for c in best.columns if c not in chunks.columns]
+    columns = [rest[c] if c in more else best[c] for c in chunks.columns if c != vector]
+    return joined.select(*columns, *[best[c] for c in made])
 
 
 def embed_queries(queries: DataFrame, embed: vectors.EmbedFn) -> DataFrame:

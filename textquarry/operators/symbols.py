@@ -120,6 +120,7 @@ HTML_RULES = (
     ("variable", r"(?is)[\s;>{(](?:var|let|const)\s+([a-z_$][\w$]*)\s*="),
 )
 
+_SYMBOL_BLOCK = 256
 _FOUND = "array<struct<line:int,name:string,kind:string,signature:string,indent:int,opens:boolean>>"
 
 
@@ -151,7 +152,8 @@ def _found_sql(language: str, lines_column: str) -> str:
 def _scoped(found: Column, language: Column) -> Column:
     """Add scopes: the nearest earlier scope-opening symbol with a smaller indent.
 
-    Runs over the symbols of one file in line order with a stack of open scopes.
+    Runs over the symbols of one file in line order with a stack of open scopes. Every step
+    copies the array it appends to, so results are gathered in blocks.
     """
     out_type = "array<struct<line:int,name:string,kind:string,signature:string,scope:string>>"
     stack_type = "array<struct<indent:int,name:string,kind:string>>"
@@ -183,10 +185,24 @@ def _scoped(found: Column, language: Column) -> Column:
             ),
         )
 
-    start = F.struct(
-        F.array().cast(stack_type).alias("stack"), F.array().cast(out_type).alias("out")
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _SYMBOL_BLOCK).cast("int")),
+        lambda b: F.slice(found, b * _SYMBOL_BLOCK + 1, _SYMBOL_BLOCK),
     )
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+
+    def block_step(acc: Column, block: Column) -> Column:
+        start = F.struct(acc["stack"].alias("stack"), F.array().cast(out_type).alias("out"))
+        return let(
+            F.aggregate(block, start, step),
+            lambda r: F.struct(
+                r["stack"].alias("stack"), F.array_append(acc["outs"], r["out"]).alias("outs")
+            ),
+        )
+
+    first = F.struct(
+        F.array().cast(stack_type).alias("stack"), F.array().cast(f"array<{out_type}>").alias("outs")
+    )
+    return F.aggregate(blocks, first, block_step, lambda acc: F.flatten(acc["outs"]))
 
 
 def extract_symbols(
