@@ -188,6 +188,21 @@ def test_other_runs_may_come_between_micro_batches(spark, tmp_path):
     assert {r.path for r in store.files().collect()} == {"manual.md", "second.md", "third.md"}
 
 
+def test_late_events_are_written_down(spark, tmp_path):
+    source, out = tmp_path / "events", str(tmp_path / "out")
+
+    def run(rows):
+        events(spark, rows).coalesce(1).write.mode("append").parquet(str(source))
+        query = debounce.record_late(stream(spark, source, rows), out, str(tmp_path / "cp"), trigger={"availableNow": True})
+        apply.drain(query)
+
+    run([(0, "a", "modified"), (500, "b", "modified")])
+    run([(10, "late", "modified"), (450, "in time", "modified"), (900, "c", "modified")])
+    run([(500, "late too", "deleted"), (850, "in time", "modified")])
+    late = spark.read.parquet(f"{out}/late")
+    assert {r.path for r in late.collect()} == {"late", "late too"} and late.count() == 2
+
+
 def test_a_failing_stream_is_raised(spark, tmp_path):
     source = tmp_path / "events"
     events(spark, [(0, "a", "modified"), (9999, "b", "modified")]).write.parquet(str(source))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -14,11 +16,18 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Session windows of a hot path are merged in each task before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # State of streams lies on disk, not in the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and trials. On a cluster use the session it gives you."""
+    """A local session for tests and trials, with a shared folder of its own that goes when
+    Python ends. On a cluster use the session it gives you, with ``spark.checkpoint.dir`` set."""
+    folder = tempfile.mkdtemp(prefix="textquarry-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("textquarry")
@@ -26,6 +35,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.checkpoint.dir", folder)
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
@@ -35,8 +45,8 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder every executor can reach, for tables and stream checkpoints.
 
-    It lies below ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a
-    temporary folder of this machine is used, and only by a local session.
+    It lies below ``spark.checkpoint.dir``. Where that is unset, a session on this machine
+    alone uses a temporary folder of it, and any other is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -44,3 +54,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="textquarry-"), name)
+
+
+def clear_shared(spark: SparkSession) -> bool:
+    """Remove all that operators have left below the shared folder. Results that were not
+    computed yet may still read from there, so call it when a job has written its output."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return False
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/textquarry")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

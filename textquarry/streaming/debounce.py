@@ -107,6 +107,37 @@ def debounce_stream(
     )
 
 
+def split_late(events: DataFrame, seen_until, delay: str = "1 minute") -> tuple[DataFrame, DataFrame]:
+    """(in time, late): events of a micro-batch by whether a watermark of ``delay`` behind
+    ``seen_until``, the newest event of all earlier micro-batches, has passed them. With
+    ``seen_until`` None none is late."""
+    if seen_until is None:
+        return events, events.where(F.lit(False))
+    passed = F.col("ts") < F.lit(seen_until).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+    return events.where(~F.coalesce(passed, F.lit(False))), events.where(passed)
+
+
+def record_late(events: DataFrame, folder: str, checkpoint: str, delay: str = "1 minute", trigger: dict | None = None):
+    """Start a stream beside :func:`debounce_stream` on the same events that writes each event
+    too late for its watermark to ``<folder>/late/epoch=<n>``, so that none goes uncounted.
+
+    The newest event of each micro-batch is kept in ``<folder>/seen``; one that is tried again
+    compares with the epochs before it and writes the same rows.
+    """
+    spark = events.sparkSession
+
+    def one_batch(rows: DataFrame, epoch: int) -> None:
+        seen = None
+        if epoch > 0:
+            seen = spark.read.parquet(f"{folder}/seen").where(F.col("epoch") < epoch).agg(F.max("newest")).first()[0]
+        _, late = split_late(rows, seen, delay)
+        late.write.mode("overwrite").parquet(f"{folder}/late/epoch={epoch}")
+        rows.agg(F.max("ts").alias("newest")).write.mode("overwrite").parquet(f"{folder}/seen/epoch={epoch}")
+
+    writer = events.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(one_batch)
+    return writer.trigger(**(trigger or {"processingTime": "2 seconds"})).start()
+
+
 def _order(events: DataFrame):
     return F.struct("ts", "event_id") if "event_id" in events.columns else F.col("ts")
 
