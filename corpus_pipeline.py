@@ -40,7 +40,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
     import public_tokenizers
 
-    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # Workers also hold what the stages before have left, so they remember fewer words.
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=200_000)
 
 
 STAGES = [

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sizing import staged
 from .registry import query, table
-from .tokens import encoder
+from .tokens import KEPT, encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -23,17 +23,20 @@ ROUNDS = 6
 _PIECES = "piece_key long, doc_id long, piece int, start long, length int, ids binary"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = KEPT
+) -> DataFrame:
     """Pieces of every document's ids and its end id, a row each: piece_key (unique), doc_id,
     piece, start, length and ids (little-endian unsigned 32-bit).
 
     Only documents longer than ``capacity`` are cut; the first piece takes what the others,
     of ``capacity`` ids each, leave. A null text is empty, and each repeated row is packed.
+    ``cached`` bounds the pieces of words that a worker remembers.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, cached), np.array([end_id], "<u4").tobytes()
         key = TaskContext.get().partitionId() << 36
         for batch in batches:
             out, held = [], 0
@@ -189,10 +192,12 @@ def packed_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROU
     return pieces.join(places, "piece_key")
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def packed_documents(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, cached: int = KEPT
+) -> DataFrame:
     """Pieces of all documents with crc32 of their ids and their places; the ids themselves
     are left out, see :func:`token_pieces` and :func:`packed_pieces` to keep them."""
-    pieces = token_pieces(docs, tokenizer, capacity).select(
+    pieces = token_pieces(docs, tokenizer, capacity, cached=cached).select(
         "piece_key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
     )
     packed = packed_pieces(staged(pieces, "pieces"), capacity, group)

@@ -21,7 +21,7 @@ from .worker import shared
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _SPACE_RUNS = [c + " " for c in " \n\t\r\x0b\x0c"]  # a space after these is not always a cut
 _LONGEST = 48  # characters of a piece that is kept
-_KEPT = 300_000  # pieces in one generation of a cache
+KEPT = 500_000  # pieces in one generation of a cache
 _SLAB = 1 << 19  # characters of a text encoded at once
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -31,7 +31,7 @@ class Cache(dict):
     """Value of a piece, made on a miss. Of two generations the older one goes when the newer
     one is full, so pieces in use stay and memory is bounded."""
 
-    def __init__(self, make, kept: int = _KEPT):
+    def __init__(self, make, kept: int = KEPT):
         super().__init__()
         self.make, self.kept, self.old = make, kept, {}
 
@@ -61,7 +61,7 @@ class Encoder:
     ``special`` strings inside a text become their tokens, as is the library's default.
     """
 
-    def __init__(self, path: str, kept: int = _KEPT):
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -81,7 +81,10 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         """Ids of what the tokenizer's pattern cut out, by the library's model."""
-        symbols = part.encode().decode("latin-1").translate(self.letters)
+        if part.isascii() and part.isprintable():  # all bytes but the space stand for themselves
+            symbols = part.replace(" ", self.letters[32])
+        else:
+            symbols = part.encode().decode("latin-1").translate(self.letters)
         return _packed([t.id for t in self.model.tokenize(symbols)])
 
     def _piece(self, piece: str) -> bytes:
@@ -160,5 +163,6 @@ def _kind(spec: dict) -> str:
     return ""
 
 
-def encoder(path: str) -> Encoder:
-    return shared(("encoder", path), lambda: Encoder(path))
+def encoder(path: str, kept: int = KEPT) -> Encoder:
+    """The worker's encoder for a tokenizer file; its caches hold about 200 bytes a piece."""
+    return shared(("encoder", path), lambda: Encoder(path, kept), kept)
