@@ -600,12 +600,6 @@ def storage_footprint(spark, folder):
     return reports.footprint(docs)
 
 
-@query("file_tree")
-def file_tree(spark, folder):
-    """The files of the given folder with their sizes."""
-    return tree.list_tree(spark, {"data": folder}).drop("root")
-
-
 # --- access log ------------------------------------------------------------------------------------------------
 
 
