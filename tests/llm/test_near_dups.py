@@ -43,6 +43,16 @@ def test_copies_without_a_common_centre(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
+def test_blocks_of_open_clusters(spark, monkeypatch):
+    """Many copies of one text with more edits than a link bears, and links only among some."""
+    monkeypatch.setattr(near_dups, "COMPARED", 7)
+    monkeypatch.setattr(near_dups, "_COLUMNS", 64)
+    text = data.prose(77, 150)
+    rows = [(i, data.edited(text, i % 40, 4 + i % 7) + (" tail" if i >= 40 else "")) for i in range(60)]
+    got = near_dups.near_duplicates(data.frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
 def test_one_document_of_each_group_stays(spark):
     df = data.frame(spark, data.rows())
     kept = near_dups.without_near_duplicates(df)

@@ -23,6 +23,8 @@ PER_HALF = 2  # minhashes of a collection
 FIRST_HALVES = 8  # collections whose tables are tried before the others
 _SLICE = 1 << 21
 _WIDE = 1 << 14
+COMPARED = 512  # members of a block
+_COLUMNS = 4096
 
 _SIGNATURES = "doc_id long, n_shingles long, digest_a long, digest_b long, halves array<long>"
 
@@ -119,11 +121,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Equal sets form a class at once, and its smallest doc_id stands for it. Tables are keyed
     by every two of the HALVES half keys; in a table's bucket each document is a candidate
-    with the smallest one there, then with the most linked one, and at last with those of
-    other components, but for pairs that have too few shingles in common with anyone. So a
-    group of copies costs a pair per member and bucket, and of two documents that meet in a
-    bucket none is left untested unless they are in one component or cannot be linked. Two
-    documents at the bound meet in none of the tables with a probability of 4 in 100 000.
+    with the smallest one there, then with the most linked one. Buckets that still hold more
+    than one component are compared block by block, without those members that have too few
+    shingles in common with anyone. So a group of copies costs a pair per member and bucket,
+    and of two documents that meet in a bucket none is left untested unless they are in one
+    component or cannot be linked. Two documents at the bound meet in none of the tables with
+    a probability of 4 in 100 000.
     """
     signed = staged(signatures(docs), "signatures")
     node = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("doc_id"))
@@ -190,7 +193,9 @@ def _table_links(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     apart = _linkable(apart, rows, docs, percent)
     found = more(found, _to_most_linked(apart, found))
     again = _apart(apart.drop("component"), found)
-    return found if again is None else more(found, _across(again, percent))
+    if again is None:
+        return found
+    return staged(found.unionByName(_across(again, docs, percent)).distinct(), "confirmed")
 
 
 def _with_component(nodes: DataFrame, component: DataFrame, node: str, name: str) -> DataFrame:
@@ -257,13 +262,50 @@ def _to_most_linked(apart: DataFrame, found: DataFrame) -> DataFrame:
     return _ordered(joined.select("node", F.col("top.hub").alias("other")))
 
 
-def _across(apart: DataFrame, percent: int) -> DataFrame:
-    """Members of different components that share a bucket and can be linked."""
-    other = apart.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "component", "n", "most")])
-    common = F.least("most", "other_most")
-    possible = 100 * common >= percent * (F.col("n") + F.col("other_n") - common)
-    joined = apart.join(other, "key").where(F.expr("node < other_node AND component <> other_component") & possible)
-    return _ordered(joined.select("node", F.col("other_node").alias("other")))
+def _across(apart: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components that are left in open buckets.
+
+    Members that buckets connect are a cluster; its members are dealt into blocks, and every
+    two blocks are compared in one task by products of 0/1 matrices. Of the links found there
+    one for each two components leaves the task.
+    """
+    first = apart.groupBy("key").agg(F.min("node").alias("b"))
+    clusters = connected_components(apart.join(first, "key").select(F.col("node").alias("a"), "b"))
+    nodes = apart.select("node", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "node")
+    nodes = staged(nodes, "open-clusters")
+    blocks = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = nodes.join(blocks, "cluster").select("node", "component", "cluster", own.alias("own"), "blocks")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "component", "cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(broadcast_if_small(nodes.select("node")), "node", "left_semi")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        node, component = (rows.column(c).to_numpy() for c in ("node", "component"))
+        sets = shingle_sets(*word_hashes(*text_buffers(rows.column("text"))), WORDS)
+        size = np.array([len(s) for s in sets], np.float32)
+        _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+        owner, column = owner[seen[column] > 1], column[seen[column] > 1]
+        column = np.unique(column, return_inverse=True)[1]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+            i, j = np.searchsorted(column, [a, a + _COLUMNS])
+            part = np.zeros((len(sets), _COLUMNS), np.float32)
+            part[owner[i:j], column[i:j] - a] = 1
+            common += part @ part.T
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        x, y = np.nonzero(linked & (component[:, None] < component[None, :]))
+        if len(x):
+            pairs = np.stack([component[x], component[y]], axis=1)
+            keep = np.unique(pairs, axis=0, return_index=True)[1]
+            x, y = x[keep], y[keep]
+        return pa.table({"a": pa.array(np.maximum(node[x], node[y])), "b": pa.array(np.minimum(node[x], node[y]))})
+
+    return dealt.join(texts, "node").groupBy("cluster", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
