@@ -160,7 +160,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     contexts = met.groupBy("hash", "context").agg(F.min("doc").alias("first"))
     contexts = staged(contexts, "contexts")
     several = contexts.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    contexts = contexts.join(broadcast_if_small(staged(several, "groups")), "hash", "left")
+    contexts = contexts.join(several, "hash", "left")
     placed = staged(met.join(contexts, ["hash", "context"]), "occurrences")
     copies = placed.where("again OR doc <> first").select("doc", "twin", "place")
 
@@ -204,7 +204,7 @@ _CUT = "shard long, open boolean, doc long, twin long, place long, bytes binary"
 def _contexts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the wanted contexts, cut from their texts; of repeated rows once."""
     lists = wanted.distinct().groupBy("doc", "twin").agg(F.collect_list(F.struct("shard", "open", "place")).alias("wanted"))
-    joined = keyed.join(broadcast_if_small(staged(lists, "wanted")), ["doc", "twin"])
+    joined = keyed.join(lists, ["doc", "twin"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -285,7 +285,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     common prefixes tell equal strings. An anchor with very many contexts is dealt over
     several shards, of which only first windows are compared further.
     """
-    spans = broadcast_if_small(staged(repeated_spans(docs), "spans"))
+    spans = staged(repeated_spans(docs), "spans")
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     twins = spans.where("twin <> 0").select("doc", F.lit(True).alias("several")).distinct()
     rows = rows.join(twins, "doc", "left").withColumn("twin", F.when(F.col("several"), F.xxhash64("text")).otherwise(0))
