@@ -23,6 +23,8 @@ SHORTEST = 5  # words of the shortest item that is looked for
 # Masks over word positions; 0 is ignored. Whatever three of 16 words differ, one of these
 # masks fits somewhere on equal words, so no overlap is lost before it is verified.
 MASKS = ("1101111", "1110111", "110100000111")
+# Items below WINDOW words have these too: whatever words may differ in 5 to 15, one fits.
+SHORT_MASKS = ("1111", "11011")
 PASS_HASHES = 1 << 21  # benchmark hashes carried to the tasks at once, 16 MB
 _FILTER_BITS = 22
 _SLICE = 1 << 21
@@ -32,27 +34,31 @@ def _weights() -> np.ndarray:
     return mix(np.arange(1, 64, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
-def seeds(words: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, hashes) of every mask at every place of every text, and of every run of
-    ``lengths`` words. Hashes of different masks and lengths differ."""
+def needed(n: int) -> int:
+    """Equal words that make an overlap with an item of ``n`` words: ALIKE of WINDOW, and the
+    same share, rounded up, of a shorter item."""
+    return -(-ALIKE * min(n, WINDOW) // WINDOW)
+
+
+def seeds(words: np.ndarray, ends: np.ndarray, masks: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, hashes) of every mask at every place of every text. Hashes of different
+    masks differ."""
     w = shared("seed weights", _weights)
     room = np.repeat(ends[1:], np.diff(ends)) - np.arange(len(words))
-    shapes = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS] + [list(range(n)) for n in lengths]
-    spans = [len(m) for m in MASKS] + list(lengths)
-    for shape, (taken, span) in enumerate(zip(shapes, spans)):
+    for shape, mask in enumerate(masks):
+        taken, span = [i for i, c in enumerate(mask) if c == "1"], len(mask)
         at = np.flatnonzero(room >= span)
         if not len(at):
             continue
         n = len(words) - span + 1
-        total = np.full(n, shape + 1 if shape < len(MASKS) else 1000 + span, np.uint64)
+        total = np.full(n, shape + 1, np.uint64)
         for i in taken:
             total += words[i : i + n] * w[i]
         yield at, mix(total[at])
 
 
 def _item_rows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """(item_id, at, hash, words): seeds of long items, the whole sequence of short ones, and
-    all word hashes of the item."""
+    """(item_id, at, hash, words): seeds of the item, and all its word hashes."""
     rows = items.select(F.col(key).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,8 +69,7 @@ def _item_rows(items: DataFrame, key: str, text: str) -> DataFrame:
                 n = len(own)
                 if item is None or n < SHORTEST:
                     continue
-                found = list(seeds(own, np.array([0, n]), () if n >= WINDOW else (n,)))
-                found = found if n >= WINDOW else found[-1:]
+                found = list(seeds(own, np.array([0, n]), MASKS if n >= WINDOW else MASKS + SHORT_MASKS))
                 at = np.concatenate([f[0] for f in found])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -79,14 +84,17 @@ def _item_rows(items: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(cut, "item_id long, at int, hash long, words binary").distinct()
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(
+    docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", item_text: str = "text", edited: bool = False
+) -> DataFrame:
     """(doc_id, text_hash, item_id, start, alike): for each row of ``docs`` and benchmark item
     that overlap, the first word of the document's best overlap and its equal words.
 
     Words are bare: lower-cased in A-Z, and ASCII punctuation parts them. A document overlaps
     an item of WINDOW words or more where ALIKE of WINDOW words in line are equal, a shorter
-    one where it holds all its words in a row; items below SHORTEST words, null texts and null
-    item ids overlap with nothing. ``text_hash`` is xxhash64 of the text: with doc_id, which
+    one where it holds all its words in a row or, if ``edited``, the same share of them in
+    line (:func:`needed`); items below SHORTEST words, null texts and null item ids overlap
+    with nothing. ``text_hash`` is xxhash64 of the text: with doc_id, which
     may be null or repeated, it tells rows apart. Other columns are not read.
 
     Benchmark hashes go to the tasks in passes of a bounded size, so that of the documents'
@@ -97,14 +105,14 @@ def leaks(docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", item_
     n = bench.count()
     if not n:
         return spark.createDataFrame([], "doc_id long, text_hash long, item_id long, start int, alike int")
-    sizes = bench.select(F.expr("octet_length(words) div 8").alias("n")).where(F.col("n") < WINDOW).distinct()
-    lengths = tuple(sorted(r["n"] for r in sizes.collect()))  # fewer than WINDOW values
+    short = bench.where(F.octet_length("words") < 8 * WINDOW).limit(1).count()
+    masks = MASKS + SHORT_MASKS if short else MASKS
     passes = -(-n // PASS_HASHES)
     found = None
     for turn in range(passes):
         mine = bench.where(F.pmod("hash", F.lit(passes)) == turn)
         hashes = np.unique(mine.select("hash").distinct().toArrow().column("hash").to_numpy().view(np.uint64))
-        part = _hits(docs, hashes, lengths)
+        part = _hits(docs, hashes, masks)
         found = part if found is None else found.unionByName(part)
     found = staged(found, "seed-hits")
 
@@ -120,7 +128,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", item_
             for i in range(batch.num_rows):
                 mine = np.frombuffer(batch.column("words")[i].as_py(), np.uint64)
                 item = np.frombuffer(batch.column("item_words")[i].as_py(), np.uint64)
-                places.append(best_overlap(mine, item, batch.column("shift")[i].as_py()))
+                places.append(best_overlap(mine, item, batch.column("shift")[i].as_py(), edited))
             keep = pa.array([p[1] > 0 for p in places])
             first = batch.column("first").to_numpy()
             yield pa.RecordBatch.from_arrays(
@@ -141,21 +149,21 @@ def leaks(docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", item_
     return best.select("doc_id", "text_hash", "item_id", (-F.col("best.back")).alias("start"), F.col("best.alike").alias("alike"))
 
 
-def best_overlap(mine: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
+def best_overlap(mine: np.ndarray, item: np.ndarray, shift: int, edited: bool = False) -> tuple[int, int]:
     """Place in ``mine`` of the best window when the item starts at ``shift``, and its equal
     words; 0 where no window is alike enough."""
     n = len(item)
     a, b = max(shift, 0), min(shift + n, len(mine))
-    window = min(n, WINDOW)
+    window, least = min(n, WINDOW), ALIKE if n >= WINDOW else n
     if b - a < window:
         return 0, 0
     equal = np.concatenate([[0], np.cumsum(mine[a:b] == item[a - shift : b - shift])])
     alike = equal[window:] - equal[:-window]
     at = int(alike.argmax())
-    return a + at, int(alike[at]) if alike[at] >= (ALIKE if n >= WINDOW else n) else 0
+    return a + at, int(alike[at]) if alike[at] >= (needed(n) if edited else least) else 0
 
 
-def _hits(docs: DataFrame, hashes: np.ndarray, lengths: tuple[int, ...]) -> DataFrame:
+def _hits(docs: DataFrame, hashes: np.ndarray, masks: tuple[str, ...]) -> DataFrame:
     """Segments of documents around places whose hashes the benchmark has: every word that a
     window over a hit can hold, once, with the hits in it."""
     rows = docs.select(
@@ -177,7 +185,7 @@ def _hits(docs: DataFrame, hashes: np.ndarray, lengths: tuple[int, ...]) -> Data
             for batch in row_slices(whole, "text", _SLICE):
                 words, ends = word_hashes(*text_buffers(batch.column("text")), bare=True)
                 at, got = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-                for place, value in seeds(words, ends, lengths):
+                for place, value in seeds(words, ends, masks):
                     maybe = np.flatnonzero(near[value >> np.uint64(64 - _FILTER_BITS)])
                     slot = np.minimum(np.searchsorted(known, value[maybe]), len(known) - 1)
                     maybe = maybe[known[slot] == value[maybe]]
@@ -222,9 +230,11 @@ def _hits(docs: DataFrame, hashes: np.ndarray, lengths: tuple[int, ...]) -> Data
     )
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def without_leaks(
+    docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", item_text: str = "text", edited: bool = False
+) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that overlap no benchmark item."""
-    found = staged(leaks(docs, items, item_key=item_key, item_text=item_text), "leaks")
+    found = staged(leaks(docs, items, item_key=item_key, item_text=item_text, edited=edited), "leaks")
     leak_id, leak_hash = fresh(docs, "leak_id", "leak_hash")
     bad = broadcast_if_small(found.select("doc_id", "text_hash").distinct().toDF(leak_id, leak_hash))
     text_hash = F.xxhash64(docs["text"].cast("string"))
@@ -234,5 +244,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, item_key: str = "item_id
 
 @query("op1_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), edited=True)
     return found.select("doc_id", "item_id", "start", "alike", F.lit(True).alias("contaminated"))
