@@ -85,7 +85,7 @@ def _item_rows(items: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", item_text: str = "text", edited: bool = False
+    docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", item_text: str = "text", edited: bool = False, cut: bool = False
 ) -> DataFrame:
     """(doc_id, text_hash, item_id, start, alike): for each row of ``docs`` and benchmark item
     that overlap, the first word of the document's best overlap and its equal words.
@@ -93,7 +93,8 @@ def leaks(
     Words are bare: lower-cased in A-Z, and ASCII punctuation parts them. A document overlaps
     an item of WINDOW words or more where ALIKE of WINDOW words in line are equal, a shorter
     one where it holds all its words in a row or, if ``edited``, the same share of them in
-    line (:func:`needed`); items below SHORTEST words, null texts and null item ids overlap
+    line (:func:`needed`). With ``cut`` a window may lie partly before the start or behind the
+    end of the document, where no word is equal; otherwise it lies inside. Items below SHORTEST words, null texts and null item ids overlap
     with nothing. ``text_hash`` is xxhash64 of the text: with doc_id, which
     may be null or repeated, it tells rows apart. Other columns are not read.
 
@@ -128,7 +129,7 @@ def leaks(
             for i in range(batch.num_rows):
                 mine = np.frombuffer(batch.column("words")[i].as_py(), np.uint64)
                 item = np.frombuffer(batch.column("item_words")[i].as_py(), np.uint64)
-                places.append(best_overlap(mine, item, batch.column("shift")[i].as_py(), edited))
+                places.append(best_overlap(mine, item, batch.column("shift")[i].as_py(), edited, cut))
             keep = pa.array([p[1] > 0 for p in places])
             first = batch.column("first").to_numpy()
             yield pa.RecordBatch.from_arrays(
@@ -149,18 +150,21 @@ def leaks(
     return best.select("doc_id", "text_hash", "item_id", (-F.col("best.back")).alias("start"), F.col("best.alike").alias("alike"))
 
 
-def best_overlap(mine: np.ndarray, item: np.ndarray, shift: int, edited: bool = False) -> tuple[int, int]:
+def best_overlap(mine: np.ndarray, item: np.ndarray, shift: int, edited: bool = False, cut: bool = False) -> tuple[int, int]:
     """Place in ``mine`` of the best window when the item starts at ``shift``, and its equal
     words; 0 where no window is alike enough."""
     n = len(item)
     a, b = max(shift, 0), min(shift + n, len(mine))
     window, least = min(n, WINDOW), ALIKE if n >= WINDOW else n
+    least = needed(n) if edited else least
+    if cut and least <= b - a:  # shorter only at an end of the document: segments hold two windows
+        window = min(window, b - a)
     if b - a < window:
         return 0, 0
     equal = np.concatenate([[0], np.cumsum(mine[a:b] == item[a - shift : b - shift])])
     alike = equal[window:] - equal[:-window]
     at = int(alike.argmax())
-    return a + at, int(alike[at]) if alike[at] >= (needed(n) if edited else least) else 0
+    return a + at, int(alike[at]) if alike[at] >= least else 0
 
 
 def _hits(docs: DataFrame, hashes: np.ndarray, masks: tuple[str, ...]) -> DataFrame:
@@ -231,10 +235,10 @@ def _hits(docs: DataFrame, hashes: np.ndarray, masks: tuple[str, ...]) -> DataFr
 
 
 def without_leaks(
-    docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", item_text: str = "text", edited: bool = False
+    docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", item_text: str = "text", edited: bool = False, cut: bool = False
 ) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that overlap no benchmark item."""
-    found = staged(leaks(docs, items, item_key=item_key, item_text=item_text, edited=edited), "leaks")
+    found = staged(leaks(docs, items, item_key=item_key, item_text=item_text, edited=edited, cut=cut), "leaks")
     leak_id, leak_hash = fresh(docs, "leak_id", "leak_hash")
     bad = broadcast_if_small(found.select("doc_id", "text_hash").distinct().toDF(leak_id, leak_hash))
     text_hash = F.xxhash64(docs["text"].cast("string"))
@@ -244,5 +248,5 @@ def without_leaks(
 
 @query("op1_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), edited=True)
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), edited=True, cut=True)
     return found.select("doc_id", "item_id", "start", "alike", F.lit(True).alias("contaminated"))
