@@ -27,8 +27,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    return near_dups.without_near_duplicates(docs)
+    """One document of each group of near-duplicates, the one with the smallest doc_id.
+
+    Documents without a letter went with the first stage, so a text without any word is one
+    that the line stage emptied, a copy of lines that stay elsewhere: it goes too."""
+    worded = F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0d]")
+    return near_dups.without_near_duplicates(docs.where(worded))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
