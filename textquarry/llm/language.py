@@ -173,8 +173,11 @@ def with_known_language(docs: DataFrame, per_class: int = PER_CLASS) -> DataFram
     """The rows of ``docs``, all columns as they are, without those judged ``und``.
 
     Rejection depends on a row's own text, so it is the rule of :func:`predict` and no join.
+    Without a model, as no row has a usable label, all rows with a letter stay.
     """
     model = fit(docs, per_class)
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     found = predictor(docs.sparkSession, model)(F.col("text").cast("string"))
     return docs.where(found["lang_pred"] != UNKNOWN)
 
