@@ -14,7 +14,7 @@ SQL: dict[str, str] = {}
 
 _MODULES = (
     "decontaminate line_templates packing token_files token_counts language suffixes near_dups vector_search "
-    "url_rules"
+    "url_rules hard_negatives fill_middle secrets"
 ).split()
 
 
