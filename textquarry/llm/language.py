@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .worker import shared
+from .worker import release, shared
 
 PER_CLASS = 400  # labelled rows of each language to learn from, about
 LANDMARKS = 40  # of them, landmarks of each language
@@ -132,8 +132,9 @@ def fit(docs: DataFrame, per_class: int = PER_CLASS, landmarks: int = LANDMARKS,
     return KernelModel([str(v) for v in languages], codes, marks, weights.astype(np.float32))
 
 
-def predictor(spark: SparkSession, model: KernelModel | None) -> Callable:
-    """A column function: (lang_pred, score) of a text.
+def predictor(spark: SparkSession, model: KernelModel | None, keep: bool = True) -> Callable:
+    """A column function: (lang_pred, score) of a text. Without ``keep`` workers hold nothing
+    between tasks.
 
     ``und`` with score 0 where the text is null or has no letter, and everywhere without a
     model. The score is the winner's regression value, cut to 0..1; of equal values the first
@@ -158,6 +159,8 @@ def predictor(spark: SparkSession, model: KernelModel | None) -> Callable:
                 for i, b in zip(at, best.tolist()):
                     names[i] = m.languages[b]
             yield pd.DataFrame({"lang_pred": names, "score": scores})
+        if not keep:
+            release()
 
     return score
 
@@ -178,7 +181,7 @@ def with_known_language(docs: DataFrame, per_class: int = PER_CLASS) -> DataFram
     model = fit(docs, per_class)
     if model is None:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
-    found = predictor(docs.sparkSession, model)(F.col("text").cast("string"))
+    found = predictor(docs.sparkSession, model, keep=False)(F.col("text").cast("string"))
     return docs.where(found["lang_pred"] != UNKNOWN)
 
 

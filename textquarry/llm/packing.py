@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.sizing import staged
 from .registry import query, table
 from .tokens import KEPT, encoder
+from .worker import released
 
 CAPACITY = 1024
 END_ID = 2
@@ -24,14 +25,14 @@ _PIECES = "piece_key long, doc_id long, piece int, start long, length int, ids b
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = KEPT
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = KEPT, keep: bool = True
 ) -> DataFrame:
     """Pieces of every document's ids and its end id, a row each: piece_key (unique), doc_id,
     piece, start, length and ids (little-endian unsigned 32-bit).
 
     Only documents longer than ``capacity`` are cut; the first piece takes what the others,
     of ``capacity`` ids each, leave. A null text is empty, and each repeated row is packed.
-    ``cached`` bounds the pieces of words that a worker remembers.
+    ``cached`` bounds the pieces of words that a worker remembers, between tasks too if ``keep``.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -55,7 +56,7 @@ def token_pieces(
             if out:
                 yield _batch(out)
 
-    return rows.mapInArrow(cut, _PIECES)
+    return rows.mapInArrow(cut if keep else released(cut), _PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -193,11 +194,11 @@ def packed_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROU
 
 
 def packed_documents(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, cached: int = KEPT
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, cached: int = KEPT, keep: bool = True
 ) -> DataFrame:
     """Pieces of all documents with crc32 of their ids and their places; the ids themselves
     are left out, see :func:`token_pieces` and :func:`packed_pieces` to keep them."""
-    pieces = token_pieces(docs, tokenizer, capacity, cached=cached).select(
+    pieces = token_pieces(docs, tokenizer, capacity, cached=cached, keep=keep).select(
         "piece_key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
     )
     packed = packed_pieces(staged(pieces, "pieces"), capacity, group)

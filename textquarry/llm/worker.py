@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -34,6 +35,30 @@ def shared(key: Any, make: Callable[[], Any], version: Any = None) -> Any:
     return held[1]
 
 
+def release() -> None:
+    """Drop all that ``shared`` keeps in this worker and hand free memory back to the system, so
+    that an idle worker holds little beside what other stages of a job run."""
+    module = sys.modules.get(_STORE)
+    if module is not None:
+        module.__dict__.get("values", {}).clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function of a task's batches, with a release behind its last batch."""
+
+    def once(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return once
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and n + 1 offsets into them; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
