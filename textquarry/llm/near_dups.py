@@ -14,7 +14,7 @@ from .components import connected_components
 from .registry import query, table
 from .rows import fresh
 from .words import mix, shingle_sets, word_hashes
-from .worker import row_slices, shared, text_buffers
+from .worker import released, row_slices, shared, text_buffers
 
 WORDS = 5
 PERCENT = 75
@@ -25,6 +25,7 @@ _SLICE = 1 << 21
 _WIDE = 1 << 14
 COMPARED = 512  # members of a block
 _COLUMNS = 4096
+_ENTRY_ROWS = 1 << 15
 
 _SIGNATURES = "doc_id long, n_shingles long, digest_a long, digest_b long, halves array<long>"
 
@@ -71,7 +72,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "digest_a", "digest_b", "halves"],
                 )
 
-    return rows.mapInArrow(sign, _SIGNATURES)
+    return rows.mapInArrow(released(sign), _SIGNATURES)
 
 
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -106,7 +107,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
                     keep.append(100 * common >= percent * (len(mine) + len(yours) - common) > 0)
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(confirm, "a long, b long").distinct()
+    return both.mapInArrow(released(confirm), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -168,6 +169,9 @@ def _same_id(rows: DataFrame) -> DataFrame:
 def _table_links(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Confirmed links between documents that meet in a table's bucket."""
     heads = rows.where("node = doc_id").select("node", "halves")
+    # Every row becomes HALVES * (HALVES - 1) / 2 entries, so tasks are cut by rows, not by bytes.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // _ENTRY_ROWS))
+    heads = heads.repartition(tasks)
     half = [F.col("halves")[i] for i in range(HALVES)]
     keys = [
         F.struct(F.lit(i >= FIRST_HALVES).alias("later"), F.xxhash64(F.lit(i * HALVES + j), half[i], half[j]).alias("key"))
@@ -187,7 +191,10 @@ def _table_links(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     found = staged(confirmed(staged(stars.where("NOT later").select("a", "b").distinct(), "pairs"), docs, percent), "confirmed")
     component = connected_components(found)
     found = more(found, _parted(stars.where("later").select("a", "b").distinct(), component))
-    apart = _apart(members, found)
+    # Buckets with one smallest member are one group from here on: a group of near copies shares
+    # most of its buckets, and all that meet in a bucket still meet.
+    groups = staged(members.select(F.col("first").alias("key"), "node").distinct(), "groups")
+    apart = _apart(groups, found)
     if apart is None:
         return found
     apart = _linkable(apart, rows, docs, percent)
@@ -240,7 +247,7 @@ def _linkable(apart: DataFrame, rows: DataFrame, docs: DataFrame, percent: int)
                     [batch.column("node").take(pa.array(owner)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"]
                 )
 
-    shingles = texts.join(nodes, "node", "left_semi").mapInArrow(shingle_rows, "node long, shingle long")
+    shingles = texts.join(nodes, "node", "left_semi").mapInArrow(released(shingle_rows), "node long, shingle long")
     owners = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     alone = owners.where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
     sizes = rows.where("node = doc_id").groupBy("node").agg(F.min("n_shingles").alias("n"))
@@ -265,18 +272,29 @@ def _to_most_linked(apart: DataFrame, found: DataFrame) -> DataFrame:
 def _across(apart: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links between members of different components that are left in open buckets.
 
-    Members that buckets connect are a cluster; its members are dealt into blocks, and every
-    two blocks are compared in one task by products of 0/1 matrices. Of the links found there
-    one for each two components leaves the task.
+    Members that buckets connect are a cluster. A component of more than COMPARED members is
+    cut into blocks of its own, other members are dealt into blocks by their components, and
+    two blocks meet in one task by products of 0/1 matrices, unless both are of one large
+    component: members that are linked already are not compared with each other. Of the links
+    found in a task one for each two components leaves it.
     """
-    first = apart.groupBy("key").agg(F.min("node").alias("b"))
-    clusters = connected_components(apart.join(first, "key").select(F.col("node").alias("a"), "b"))
+    clusters = connected_components(apart.select(F.col("node").alias("a"), F.col("key").alias("b")))
     nodes = apart.select("node", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "node")
     nodes = staged(nodes, "open-clusters")
-    blocks = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = nodes.join(blocks, "cluster").select("node", "component", "cluster", own.alias("own"), "blocks")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = nodes.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("large", F.when(F.col("n") > COMPARED, F.col("component")))
+    small = sizes.where("large IS NULL").groupBy("cluster").agg(F.ceil(F.sum("n") / COMPARED).cast("int").alias("parts"))
+    parts = F.coalesce(F.when(F.col("large").isNotNull(), F.ceil(F.col("n") / COMPARED).cast("int")), F.col("parts"))
+    parts = staged(sizes.join(small, "cluster", "left").select("cluster", "component", "large", parts.alias("parts")), "open-parts")
+    dealt_by = F.when(F.col("large").isNotNull(), F.col("node")).otherwise(F.col("component"))
+    part = F.pmod(F.xxhash64(dealt_by), F.col("parts")).cast("int")
+    dealt = nodes.join(broadcast_if_small(parts), ["cluster", "component"])
+    dealt = dealt.select("node", "component", "cluster", "large", F.struct("large", part.alias("part")).alias("own"))
+    blocks = parts.groupBy("cluster", "large").agg(F.max("parts").alias("parts"))
+    blocks = blocks.select("cluster", "large", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    blocks = blocks.select("cluster", F.struct("large", "part").alias("other"))
+    linked_already = F.col("large").isNotNull() & F.col("large").eqNullSafe(F.col("other.large"))
+    dealt = dealt.join(broadcast_if_small(staged(blocks, "open-blocks")), "cluster").where(~linked_already)
     dealt = dealt.select("node", "component", "cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     texts = texts.join(broadcast_if_small(nodes.select("node")), "node", "left_semi")
