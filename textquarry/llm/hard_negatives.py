@@ -66,7 +66,7 @@ def _chunks(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.select("id", "label", "v").mapInArrow(pack, "dim int, ids binary, labels binary, vectors binary")
 
 
-def _in_passes(anchors: DataFrame, block: int, pass_bytes: int) -> Iterator[DataFrame]:
+def in_passes(anchors: DataFrame, block: int, pass_bytes: int) -> Iterator[DataFrame]:
     """Anchors (id, v, ...) in blocks of one vector length, in groups that a pass broadcasts: a
     group's components take ``pass_bytes`` and at most one block more."""
     dim = F.size("v").alias("dim")
@@ -141,7 +141,7 @@ def _best(chunks: DataFrame, anchors: DataFrame, slots: _Slots, n_slots: int, k:
                 ["id", "slot", "vec_id", "score"],
             )
 
-    for group in _in_passes(anchors, block, pass_bytes):
+    for group in in_passes(anchors, block, pass_bytes):
         # Equal lengths meet: the group is at most PASS_BYTES and a block, so this is no cross join.
         beside = chunks.join(F.broadcast(group), "dim").select("dim", "block", "anchors", "ids", "labels", "vectors")
         beside.mapInArrow(combine, _BEST).write.mode("append").parquet(folder)
