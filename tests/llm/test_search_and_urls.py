@@ -51,3 +51,17 @@ def test_url_rules(spark):
     assert (first[9].host, first[9].path, first[9].rule) == ("", "", None)
     assert url_rules.filter_pages(pages.where("false"), rules).collect() == []
     assert {r.verdict for r in url_rules.filter_pages(pages, rules.where("false")).collect()} == {"allow"}
+
+
+def test_urls_meet_rules_on_short_prefixes_alone(spark):
+    pages = spark.createDataFrame([(1, "http://a.example.org/es/")], "page_id long, url string")
+    judged = url_rules.judge_urls(pages, url_rules.rule_table(spark, url_rules.RULES))
+    joins = [x for x in judged._jdf.queryExecution().executedPlan().toString().splitlines() if "HashJoin" in x or "MergeJoin" in x]
+    assert len(joins) == 1 and "[_start" in joins[0] and "digest" not in joins[0] and "sha2" not in joins[0]
+
+
+def test_hosts_of_very_many_labels(spark):
+    many = "a." * 100_000 + "example.org"
+    pages = spark.createDataFrame([(1, f"http://{many}/es/x"), (2, "http://" + "." * 100_000 + "/de/")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.rule, len(r.host)) for r in url_rules.filter_pages(pages, url_rules.rule_table(spark, url_rules.RULES)).collect()}
+    assert got == {1: ("block", "example.org/es/", len(many)), 2: ("allow", None, 100_000)}

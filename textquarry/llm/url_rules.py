@@ -35,6 +35,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def _first_bytes(digest: Column) -> Column:
+    return F.conv(F.left(digest, F.lit(2 * PREFIX_BYTES)), 16, 10).cast("long")
+
+
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame(list(rules), "verdict string, host string, path string")
 
@@ -48,9 +52,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
     fits, the verdict is ``default`` and ``rule`` is null. A null url, or one without
     ``://``, has an empty host and path. Rules with a null part are ignored.
 
-    Each url is expanded into all suffixes of its host at dots times its path's prefixes of
-    the lengths that rules have. Expressions meet rules on the first bytes of their SHA-256,
-    and the full digests confirm.
+    Each url is expanded into the suffixes of its host at dots, of as many labels as the
+    longest rule host has at most, times its path's prefixes of the lengths that rules have.
+    Expressions meet rules on the first bytes of their SHA-256, a number, and nothing else;
+    what meets is confirmed by the full digests.
     """
     rules = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL")
     rules = rules.groupBy(F.lower("host").alias("_host"), F.col("path").alias("_path")).agg(F.max("verdict").alias("_verdict"))
@@ -58,40 +63,31 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
         F.concat("_host", "_path").alias("_rule"),
         F.length("_host").alias("_host_length"),
         F.length("_path").alias("_path_length"),
+        F.size(F.split("_host", r"\.", -1)).alias("_labels"),
         "_verdict",
         F.sha2(F.concat("_host", "_path"), 256).alias("_digest"),
-    ).withColumn("_prefix", F.left("_digest", F.lit(2 * PREFIX_BYTES)))
+    ).withColumn("_prefix", _first_bytes(F.col("_digest")))
     # No more values than the longest rule path has characters.
-    lengths = sorted(r[0] for r in rules.select("_path_length").distinct().collect())
+    shape = rules.agg(F.array_sort(F.collect_set("_path_length")).alias("lengths"), F.max("_labels").alias("labels")).first()
+    lengths, most = shape["lengths"], shape["labels"] or 1
 
     urls = pages.select(F.col(url).alias("url")).distinct()
     urls = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    labels = F.split("host", r"\.", -1)
+    labels = F.slice(F.reverse(F.split("host", r"\.", -1)), 1, most)
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.reverse(F.slice(labels, 1, i)), ".")
     )
+    expression = lambda suffix, n: F.sha2(F.concat(suffix, F.left("path", n)), 256)
     expanded = urls.select("url", "host", "path", F.explode_outer(suffixes).alias("_suffix"))
-    expanded = expanded.select(
-        "url",
-        "host",
-        "path",
-        F.explode_outer(
-            F.transform(
-                F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path")),
-                lambda n: F.sha2(F.concat("_suffix", F.left("path", n)), 256),
-            )
-        ).alias("_expression"),
-    ).withColumn("_start", F.left("_expression", F.lit(2 * PREFIX_BYTES)))
-    met = expanded.join(
-        broadcast_if_small(rules),
-        (F.col("_start") == F.col("_prefix")) & (F.col("_expression") == F.col("_digest")),
-        "left",
-    )
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
+    expanded = expanded.select("url", "host", "path", "_suffix", F.explode_outer(fitting).alias("_n"))
+    expanded = expanded.withColumn("_start", _first_bytes(expression(F.col("_suffix"), F.col("_n"))))
+    met = expanded.join(broadcast_if_small(rules), F.col("_start") == F.col("_prefix"), "left")
+    confirmed = expression(F.col("_suffix"), F.col("_n")) == F.col("_digest")
     best = met.groupBy("url", "host", "path").agg(
         F.max(
             F.when(
-                F.col("_rule").isNotNull(),
+                confirmed,
                 F.struct(
                     (F.col("_host_length") + F.col("_path_length")).alias("length"),
                     F.col("_host_length").alias("host_length"),
@@ -134,4 +130,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, '{DEFAULT}') AS verdict FROM
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1""",
 )
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per row of ``pages``: a null url, or one without ``://``, has an empty host and path
+    and the default verdict; null and repeated page_ids stay as they are, an empty table gives
+    no row."""
     return filter_pages(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
