@@ -44,8 +44,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
     import public_tokenizers
 
-    # Workers also hold what the stages before have left, so they remember fewer words.
-    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=200_000)
+    # Executors also hold what the stages before have left, so workers remember fewer words and
+    # nothing between tasks.
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=60_000, keep=False)
 
 
 STAGES = [
