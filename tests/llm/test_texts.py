@@ -128,35 +128,37 @@ def test_leaks_of_nothing(spark):
 # --- line templates ---------------------------------------------------------------------------
 
 
-def brute_lines(rows):
+def brute_lines(rows, shares=line_templates.SHARES, long=line_templates.LONG):
     docs = list(dict.fromkeys((d, t) for d, t in rows if t is not None))
     lines = {}
     for doc in docs:
         for line in dict.fromkeys(doc[1].split("\n")):
-            tokens = ["<*>" if re.search("[0-9]", x) else x for x in re.split("[ \t\r]+", line) if x]
-            if len(tokens) >= 4:
-                lines.setdefault(line, (tokens, []))[1].append(doc)
-    leaf = lambda t: (len(t), *t[:3])
+            raw = [x for x in re.split("[ \t\r]+", line) if x]
+            if raw:
+                masked = ["<*>" if re.search("[0-9]", x) else x for x in raw]
+                leaf = (len(raw), *(masked if len(raw) > 3 else raw)[:3])
+                lines.setdefault(line, (leaf, masked, []))[2].append(doc)
     leaves, at = {}, {}
-    for tokens, own in lines.values():
-        leaves.setdefault(leaf(tokens), set()).update(own)
+    for leaf, tokens, own in lines.values():
+        leaves.setdefault(leaf, set()).update(own)
         for i, x in enumerate(tokens):
-            at[leaf(tokens), i, x] = at.get((leaf(tokens), i, x), 0) + len(own)
+            at[leaf, i, x] = at.get((leaf, i, x), 0) + len(own)
     templates = {}
-    for line, (tokens, own) in lines.items():
-        if len(leaves[leaf(tokens)]) < 3:
+    for line, (leaf, tokens, own) in lines.items():
+        if len(leaves[leaf]) < 3:
             continue
-        fixed = [i < 3 or at[leaf(tokens), i, x] >= 3 for i, x in enumerate(tokens)]
-        if sum(fixed[3:]) >= 0.5 * len(fixed[3:]):
-            shape = tuple(x if f else "<*>" for x, f in zip(tokens, fixed))
-            templates.setdefault(shape, []).append((line, own))
+        total = at[leaf, 0, tokens[0]]
+        for share in (0, *shares):
+            fixed = [i < 3 or at[leaf, i, x] >= max(3, share * total) for i, x in enumerate(tokens)]
+            if sum(fixed[3:]) >= 0.5 * len(fixed[3:]):
+                shape = (leaf, *(x if f else "<*>" for x, f in zip(tokens, fixed)))
+                templates.setdefault(shape, {})[line] = own
+    groups = [g for g in templates.values() if len({d for ds in g.values() for d in ds}) >= 3]
+    groups += [{line: own} for line, (leaf, _, own) in lines.items() if leaf[0] > long and len(own) == 2]
     lost = {}
-    for members in templates.values():
-        own = {d for _, ds in members for d in ds}
-        if len(own) < 3:
-            continue
-        first = min((d for d, _ in own if d is not None), default=None)
-        for line, ds in members:
+    for members in groups:
+        first = min((d for ds in members.values() for d, _ in ds if d is not None), default=None)
+        for line, ds in members.items():
             for doc in ds:
                 if doc[0] != first:
                     lost.setdefault(doc, set()).add(line)
@@ -165,6 +167,35 @@ def brute_lines(rows):
     ]
 
 
+def line_rows(seed):
+    """Documents of lines of every length in leaves of few and many values, some of them long."""
+    r = random.Random(seed)
+    long = [data.prose(700 + i, r.randint(49, 53)) for i in range(4)]
+    out = []
+    for i in range(90):
+        own = [data.prose(900 + i, r.randint(1, 12))]
+        for _ in range(r.randint(0, 6)):
+            own.append(
+                r.choice(
+                    [
+                        f"one {r.randint(0, 3)}", "a b c", f"job {r.choice('xyz')} done by {r.choice('pqrstu')} in {r.choice('klmnopvw')} at {r.randint(0, 9)}",
+                        f"x y z {data.prose(r.randint(0, 9), 2)} w", r.choice(long), "", "  tab\tand  space ", f"{data.prose(r.randint(0, 40), 5)}",
+                    ]
+                )
+            )
+        r.shuffle(own)
+        out.append((i if i % 17 else None, "\n".join(own)))
+    return out + out[:3] + [(5, "other text of five\na b c")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_of_every_level_same_as_a_plain_tree(spark, seed):
+    rows = line_rows(seed)
+    got = line_templates.deduplicated_lines(data.frame(spark, rows, False), dropped="n_dropped").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(brute_lines(rows), key=str)
+    assert sum(r.n_dropped for r in got) > 100
+
+
 def test_lines_same_as_a_plain_tree(spark):
     rows = data.rows() + [(None, f"{data.prose(1, 3)}\nUser 9 logged in from host none today")]
     df = data.frame(spark, rows)

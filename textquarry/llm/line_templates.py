@@ -10,7 +10,6 @@ from .registry import query, table
 from .rows import fresh
 
 LEADING = 3  # tokens that lead through the tree, below the token count
-SHORTEST = LEADING + 1  # tokens of the shortest line that the query and its SQL parse
 RECURS = 3  # documents
 ALIKE = 0.5  # share of constant tokens after the leading ones
 LONG = 50  # tokens above which an exact line recurs from two documents on
@@ -156,33 +155,47 @@ def deduplicated_lines(
 
 _SQL_TOKENS = "list_filter(string_split(translate(line, chr(9) || chr(13), '  '), ' '), lambda t: t <> '')"
 
+_LEVELS = range(len(SHARES) + 1)
+_SHAPES = ", ".join(
+    f"""string_agg(CASE WHEN p.pos >= {LEADING} AND coalesce(g.level, -1) < {k} THEN '{FIELD}' ELSE p.token END, ' ' ORDER BY p.pos) AS shape{k},
+    count(*) FILTER (p.pos >= {LEADING} AND g.level >= {k}) AS same{k}"""
+    for k in _LEVELS
+)
+_TEMPLATES = ", ".join(f"CASE WHEN same{k} >= {ALIKE} * later THEN leaf || chr(10) || shape{k} END" for k in _LEVELS)
+
 SQL = f"""WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-t AS (SELECT doc_id, line, list_transform({_SQL_TOKENS},
-    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{FIELD}' ELSE t END) AS m FROM l),
-k AS (SELECT doc_id, line, m, array_to_string([CAST(len(m) AS VARCHAR)] || m[1:{LEADING}], ' ') AS leaf
-  FROM t WHERE len(m) >= {SHORTEST}),
-f AS (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT doc_id) >= {RECURS}),
-d AS (SELECT leaf, line, m, count(*) AS n FROM k WHERE leaf IN (FROM f) GROUP BY ALL),
+t AS (SELECT doc_id, line, {_SQL_TOKENS} AS w FROM l),
+k AS (SELECT doc_id, line, list_transform(w, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{FIELD}' ELSE t END) AS m,
+    len(w) AS size, w FROM t WHERE len(w) >= 1),
+h AS (SELECT doc_id, line, m, size, array_to_string([CAST(size AS VARCHAR)] || CASE WHEN size > {LEADING} THEN m ELSE w END[1:{LEADING}], ' ') AS leaf
+  FROM k),
+f AS (SELECT leaf FROM h GROUP BY leaf HAVING count(DISTINCT doc_id) >= {RECURS}),
+d AS (SELECT leaf, line, m, count(*) AS n FROM h WHERE leaf IN (FROM f) GROUP BY ALL),
 p AS (SELECT leaf, line, n, unnest(m) AS token, unnest(range(len(m))) AS pos FROM d),
-c AS (SELECT leaf, pos, token FROM p GROUP BY ALL HAVING sum(n) >= {RECURS}),
-s AS (SELECT p.leaf, p.line,
-    string_agg(CASE WHEN p.pos >= {LEADING} AND c.pos IS NULL THEN '{FIELD}' ELSE p.token END, ' ' ORDER BY p.pos) AS template,
-    count(*) FILTER (p.pos >= {LEADING} AND c.pos IS NOT NULL) AS same, count(*) FILTER (p.pos >= {LEADING}) AS later
-  FROM p LEFT JOIN c ON p.leaf = c.leaf AND p.pos = c.pos AND p.token = c.token GROUP BY ALL),
-u AS (SELECT l.doc_id, l.line, s.template FROM l JOIN s ON l.line = s.line WHERE s.same >= {ALIKE} * s.later),
+c AS (SELECT leaf, pos, token, sum(n) AS n FROM p GROUP BY ALL HAVING sum(n) >= {RECURS}),
+g AS (SELECT c.leaf, c.pos, c.token, {" + ".join(f"CAST(c.n >= CAST({x} AS DOUBLE) * o.n AS INTEGER)" for x in SHARES)} AS level
+  FROM c JOIN c o ON c.leaf = o.leaf AND o.pos = 0),
+s AS (SELECT p.leaf, p.line, {_SHAPES}, count(*) FILTER (p.pos >= {LEADING}) AS later
+  FROM p LEFT JOIN g ON p.leaf = g.leaf AND p.pos = g.pos AND p.token = g.token GROUP BY ALL),
+q AS (SELECT DISTINCT line, unnest([{_TEMPLATES}]) AS template FROM s),
+u AS (SELECT l.doc_id, l.line, q.template FROM l JOIN q ON l.line = q.line WHERE template IS NOT NULL),
 r AS (SELECT template, min(doc_id) AS first FROM u GROUP BY template HAVING count(DISTINCT doc_id) >= {RECURS}),
-x AS (SELECT DISTINCT u.doc_id, u.line FROM u JOIN r USING (template) WHERE u.doc_id <> r.first),
+b AS (SELECT line, min(doc_id) AS first FROM h WHERE size > {LONG} GROUP BY line HAVING count(DISTINCT doc_id) = 2),
+x AS (SELECT DISTINCT u.doc_id, u.line FROM u JOIN r USING (template) WHERE u.doc_id <> r.first
+  UNION SELECT h.doc_id, h.line FROM h JOIN b USING (line) WHERE h.doc_id <> b.first),
 a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
   FROM documents),
-b AS (SELECT a.doc_id, count(*) AS n_lines, count(x.line) AS n_dropped,
+y AS (SELECT a.doc_id, count(*) AS n_lines, count(x.line) AS n_dropped,
     coalesce(string_agg(a.line, chr(10) ORDER BY a.pos) FILTER (x.line IS NULL), '') AS kept
   FROM a LEFT JOIN x ON a.doc_id = x.doc_id AND a.line = x.line GROUP BY a.doc_id)
-SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM b"""
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM y"""
 
 
 @query("op2_line_templates", SQL)
 def line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per row of ``documents``, by the rules of :func:`dropped_lines` as the pipeline applies
+    them; null texts are empty, and empty ones have one line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counted = docs.withColumn("n_lines", F.size(_lines(F.col("text"))).cast("long"))
-    kept = deduplicated_lines(counted, dropped="n_dropped", shortest=SHORTEST, shares=(), long=None)
+    kept = deduplicated_lines(counted, dropped="n_dropped")
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
