@@ -21,6 +21,7 @@ LANDMARKS = 40  # of them, landmarks of each language
 RIDGE = 1e-2
 FOLDS = 5
 UNKNOWN = "und"
+LEAST = 0.0  # a regression value of 0 is that of a text of any other language
 _LETTER = regex.compile(r"\p{L}")
 _BATCH = 256  # documents scored by one product
 _SLAB = 1 << 20
@@ -172,8 +173,9 @@ def predict(docs: DataFrame, model: KernelModel | None) -> DataFrame:
     return rows.select("doc_id", "_found.lang_pred", "_found.score")
 
 
-def with_known_language(docs: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, without those judged ``und``.
+def with_known_language(docs: DataFrame, per_class: int = PER_CLASS, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language can be told: not those
+    judged ``und``, nor those that no language claims with a score above ``least``.
 
     Rejection depends on a row's own text, so it is the rule of :func:`predict` and no join.
     Without a model, as no row has a usable label, all rows with a letter stay.
@@ -182,10 +184,12 @@ def with_known_language(docs: DataFrame, per_class: int = PER_CLASS) -> DataFram
     if model is None:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     found = predictor(docs.sparkSession, model, keep=False)(F.col("text").cast("string"))
-    return docs.where(found["lang_pred"] != UNKNOWN)
+    return docs.where((found["lang_pred"] != UNKNOWN) & (found["score"] > least))
 
 
 @query("op6_language")
 def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per row of ``documents``: null texts and texts without a letter are ``und`` with score
+    0, null ids are not held out, repeated rows repeat, an empty table gives no row."""
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
