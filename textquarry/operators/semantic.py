@@ -37,7 +37,7 @@ def pool_size(
     return max(pool, k * 4) if prefer_code else pool
 
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def matrix_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a list column as a matrix, and which rows have the right length."""
     lengths = np.array([-1 if n is None else n for n in column.value_lengths().to_pylist()])
     good = lengths == dim
@@ -47,7 +47,7 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, good
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
+def unit_rows(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n == 0, 1.0, n)
 
@@ -77,10 +77,10 @@ def nearest(
             some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == part)
         found = _score(chunks, some, pool, vector, order)
         scored = found if scored is None else scored.unionByName(found)
-    return _top(scored, ["query_id", "repo"], [F.col("distance"), *map(F.col, order)], pool)
+    return top_of_groups(scored, ["query_id", "repo"], [F.col("distance"), *map(F.col, order)], pool)
 
 
-def _top(rows: DataFrame, groups: list[str], order: list[Column], n: int) -> DataFrame:
+def top_of_groups(rows: DataFrame, groups: list[str], order: list[Column], n: int) -> DataFrame:
     """First ``n`` rows per group; hot groups are cut on the map side or in salted parts."""
     if n > _GROUP_LIMIT:
         salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(_SALT)))
@@ -104,7 +104,7 @@ def _score(
         raise ValueError("query vectors must have one length")
     dim = dims.pop() if dims else 0
     wanted = np.array([v for _, v in known], dtype="float64").reshape(len(known), dim)
-    unit_queries = _unit(wanted) if known else wanted
+    unit_queries = unit_rows(wanted) if known else wanted
     ids = [q for q, _ in known]
     repo_at = kept.index("repo")
     ties = [kept.index(c) for c in order]
@@ -142,8 +142,8 @@ def _score(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m, good = _matrix(batch.column(0), dim)
-            m = _unit(m)
+            m, good = matrix_of(batch.column(0), dim)
+            m = unit_rows(m)
             rest = pa.RecordBatch.from_arrays(batch.columns[1:], kept)
             codes = np.asarray(rest.column(repo_at).dictionary_encode().indices.fill_null(-1))
             groups = [np.flatnonzero(codes == c) for c in np.unique(codes)]
@@ -206,11 +206,14 @@ def semantic_search(
     candidate_limit: int | None = None,
     vector: str = "vector",
     order: Sequence[str] = ("chunk_id",),
+    index=None,
 ) -> DataFrame:
     """Top ``k`` chunks per query: nearest pool per repo, rerank, cut.
 
     ``code_only`` filters after the pool is cut. An unknown repo is an error; an empty
-    vector table gives no rows.
+    vector table gives no rows. With ``index``, a :class:`cells.CellIndex` of the chunks'
+    repo, order, flag and vector columns, the same pools are found without reading every
+    vector.
     """
     if repo is not None:
         if chunks.where(F.col("repo") == repo).select(F.lit(1)).head() is None:
@@ -220,12 +223,16 @@ def semantic_search(
     # Only what ranks goes through the pools; the winners fetch the rest.
     key = list(dict.fromkeys(["repo", *order]))
     flags = [c for c in chunks.columns if c.startswith("is_") and c not in key]
-    narrow = chunks.select(*key, *flags, vector)
-    ranked = rerank(nearest(narrow, queries, pool, vector=vector, order=order), prefer_code=prefer_code)
+    if index is None:
+        pools = nearest(chunks.select(*key, *flags, vector), queries, pool, vector=vector, order=order)
+    else:
+        pools = index.nearest(queries, pool, vector=vector, order=order, repo=repo)
+        pools = pools.select(*key, *flags, "query_id", "distance")
+    ranked = rerank(pools, prefer_code=prefer_code)
     if code_only:
         ranked = ranked.where(F.col("language_authoritative"))
     by = [F.desc("score"), F.col("distance"), F.col("repo"), *map(F.col, order)]
-    best = _top(ranked, ["query_id"], by, k)
+    best = top_of_groups(ranked, ["query_id"], by, k)
     more = [c for c in chunks.columns if c not in (*key, *flags, vector)]
     if not more:
         return best

@@ -11,6 +11,7 @@ from ..functions import fixed
 from ..functions.classify import classify
 from ..functions.vectors import EmbedFn, embedder, normalize
 from ..operators import semantic
+from ..operators.cells import CellIndex, build_cells
 from ..operators.chunks import source_chunks
 from ..operators.ignore import embed_allowed, embed_text
 from ..functions.text import limit_chunks
@@ -101,3 +102,38 @@ def build_vectors(
     return written.agg(
         F.count("*").alias("chunks_indexed"), F.countDistinct("doc_id").alias("documents_processed")
     )
+
+
+KEY = ("path", "chunk_index")  # of a chunk inside its repo
+
+
+def index_vectors(store: Store, name: str, **options) -> CellIndex:
+    """Build the cell index ``name`` of all live vectors in the store; see :func:`build_cells`
+    for the options. Vectors of later batches are put in with :meth:`CellIndex.add`."""
+    rows = store.live("vectors").select("repo", *KEY, *_FLAGS, "vector")
+    return build_cells(rows, store.folder(f"cells-{name}"), order=KEY, **options)
+
+
+def search_vectors(store: Store, queries: DataFrame, index: str | None = None, **options) -> DataFrame:
+    """:func:`semantic.semantic_search` over the live vectors of a store, through the index of
+    that name if one is given. Vectors that the index has and that are no longer live are
+    left out before the pools are cut."""
+    live = store.live("vectors")
+    if index is None:
+        return semantic.semantic_search(live, queries, order=KEY, **options)
+    cells = _LiveCells(store.spark, store.folder(f"cells-{index}"))
+    cells.live = live.select("repo", *KEY)
+    return semantic.semantic_search(live, queries, order=KEY, index=cells, **options)
+
+
+_FLAGS = ("is_code", "is_doc", "is_config", "is_data")
+
+
+class _LiveCells(CellIndex):
+    """A cell index that reads live rows only. Its cells may count vectors that are gone; a
+    search then finds its first cells short of the pool and reads on."""
+
+    live: DataFrame
+
+    def members(self) -> DataFrame:
+        return super().members().join(self.live, ["repo", *KEY], "left_semi")
