@@ -152,7 +152,7 @@ def search_ids(
 # --- many queries at once ------------------------------------------------------------------
 
 
-def _usable(queries: DataFrame) -> DataFrame:
+def usable_queries(queries: DataFrame) -> DataFrame:
     """Queries that can hit at all: three characters or more and no line break inside."""
     return queries.select("query_id", F.lower("query").alias("needle")).where(
         (F.length("needle") >= 3) & ~F.rlike("needle", F.lit(LINE_BREAK))
@@ -166,7 +166,7 @@ def search_many(files: DataFrame, queries: DataFrame, *, method: str = "auto") -
     each text once, without any shuffle; it is chosen when the queries are measured to be
     few. ``postings`` joins on the rarest grams of each query and has no such bound.
     """
-    usable = _usable(queries)
+    usable = usable_queries(queries)
     if method == "auto":
         size = usable.agg(F.count("*").alias("n"), F.sum(F.length("needle")).alias("chars")).first()
         small = size["n"] <= SCAN_QUERIES and (size["chars"] or 0) <= SCAN_QUERY_CHARS
@@ -257,9 +257,11 @@ def _join_many(
     measured and then broadcast, so neither postings nor texts are shuffled; where it is
     not small the joins shuffle.
     """
-    pairs = postings.gram_pairs(files) if pairs is None else pairs
     query_grams = usable.select("query_id", F.explode(trigrams("needle")).alias("gram"))
-    used = pairs.join(broadcast_if_small(query_grams.select("gram").distinct()), "gram", "left_semi")
+    asked = broadcast_if_small(staged(query_grams.select("gram").distinct(), "query-grams"))
+    used = (postings.gram_pairs(files) if pairs is None else pairs).join(asked, "gram", "left_semi")
+    if pairs is None:
+        used = staged(used, "used-pairs")  # texts are cut into grams once
     counts = postings.gram_counts(used)
     # A gram without postings counts as zero: it ranks first and matches nothing.
     rank = Window.partitionBy("query_id").orderBy("n_docs", "gram")
@@ -272,12 +274,17 @@ def _join_many(
     )
     picked = broadcast_if_small(staged(ranked, "picked-grams"))
     candidates = (
-        pairs.join(picked, "gram")
+        used.join(picked, "gram")
         .groupBy("query_id", "doc_id")
         .agg(F.count("*").alias("have"), F.first("need").alias("need"))
         .where(F.col("have") == F.col("need"))
         .select("query_id", "doc_id")
     )
+    return candidate_lines(files, candidates, usable)
+
+
+def candidate_lines(files: DataFrame, candidates: DataFrame, usable: DataFrame) -> DataFrame:
+    """Line hits of the candidates (query_id, doc_id) of usable queries (query_id, needle)."""
     needles = staged(candidates.join(usable, "query_id"), "candidates")
     found = (
         files.select("doc_id", "repo", "path", "text")
@@ -291,4 +298,4 @@ def search_many_postings(
     pairs: DataFrame, files: DataFrame, queries: DataFrame, anchors: int = 3
 ) -> DataFrame:
     """:func:`search_many` over stored postings."""
-    return _join_many(files, _usable(queries), pairs, anchors)
+    return _join_many(files, usable_queries(queries), pairs, anchors)
