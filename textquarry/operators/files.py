@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, paths
 from ..functions.text import content_hash, decode_utf8, truncate_bytes
-from .sizing import broadcast_if_small
+from .sizing import broadcast_if_small, staged
 
 DOC_KEY = ["repo", "path"]
 
@@ -107,13 +107,16 @@ def blobs_of(files: DataFrame) -> DataFrame:
 def first_blobs(rows: DataFrame, keys: list[str], stored: DataFrame | None = None) -> DataFrame:
     """Of rows (keys, blob_sha, ...) with unique keys one for each content, and none whose
     content is among the ``stored`` (blob_sha)."""
-    hashes = rows.select(F.struct(*keys).alias("key"), "blob_sha")
+    hashes = staged(rows.select(F.struct(*keys).alias("key"), "blob_sha"), "blob-hashes")
     first = hashes.groupBy("blob_sha").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
-    copies = hashes.join(first.where("n > 1"), "blob_sha").where("key <> first").select("key.*")
+    several = broadcast_if_small(staged(first.where("n > 1").select("blob_sha", "first"), "blob-groups"))
+    copies = hashes.join(several, "blob_sha").where("key <> first").select("key.*")
     if stored is not None:
-        known = hashes.join(stored.select("blob_sha").distinct(), "blob_sha", "left_semi")
-        copies = copies.unionByName(known.select("key.*")).distinct()
-    return rows.join(broadcast_if_small(copies), keys, "left_anti")
+        # The log of stored blobs is scanned where it is, for the hashes of these rows.
+        mine = broadcast_if_small(first.select("blob_sha"))
+        known = broadcast_if_small(staged(stored.select("blob_sha").join(mine, "blob_sha", "left_semi").distinct(), "known-blobs"))
+        copies = copies.unionByName(hashes.join(known, "blob_sha", "left_semi").select("key.*")).distinct()
+    return rows.join(broadcast_if_small(staged(copies, "blob-copies")), keys, "left_anti")
 
 
 def new_blobs(blobs: DataFrame, stored: DataFrame) -> DataFrame:

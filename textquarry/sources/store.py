@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.sizing import broadcast_if_small
+from ..operators.sizing import broadcast_if_small, staged
 
 TABLES = {
     "runs": "note string",
@@ -109,8 +109,13 @@ class Store:
     def blobs(self) -> DataFrame:
         """Contents that a live document uses (unused ones are gone from every reading)."""
         used = self.documents().select("blob_sha").distinct()
-        kept = self.log("blobs").drop("batch").join(used, "blob_sha", "left_semi")
-        return kept.groupBy("blob_sha").agg(F.any_value("text").alias("text"))
+        log = self.log("blobs")
+        # What is not wanted, contents without a document and second copies that two runs at a
+        # time have written, is little as a rule: it goes to the texts, and no text is shuffled.
+        keys = staged(log.select("blob_sha", "batch"), "blob-keys")
+        first = keys.join(used, "blob_sha", "left_semi").groupBy("blob_sha").agg(F.min("batch").alias("batch"))
+        unwanted = staged(keys.join(first, ["blob_sha", "batch"], "left_anti").distinct(), "unwanted-blobs")
+        return log.join(broadcast_if_small(unwanted), ["blob_sha", "batch"], "left_anti").drop("batch")
 
     def files(self, doc_ids: DataFrame | None = None) -> DataFrame:
         """Live documents with their text, all or those in ``doc_ids``.
