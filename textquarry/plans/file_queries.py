@@ -9,10 +9,12 @@ from ..functions.classify import classify
 from ..functions.text import content_hash
 from ..functions.text import lines as text_lines
 from ..operators import files as ops
-from ..operators import ignore, postings, reports, symbols
-from ..session import shared_folder
-from ..sources import tables, tree
+from ..operators import braces, ignore, pages, postings, reports, rule_index, symbols
+from ..session import run_folder, shared_folder
+from ..sources import tables, tail, tree
 from ..sources.store import Store
+from ..streaming.apply import drain
+from ..streaming.listings import CHANGES, Listings
 from .index import apply_changes, index_repositories
 from .registry import FILES, each_line, grams_of, head_bytes, lines_of, query, stripped
 
@@ -133,6 +135,66 @@ def ignore_decision_table(spark, folder):
     return ignore.with_table_decision(files, git, include).select("doc_id", "reason")
 
 
+_RULE_REPOS = 20  # of the rule table
+_RULE_KIND = "(doc_id + k) % 10"
+_RULE_TABLE = f"""numbered AS (SELECT doc_id, lang, unnest(range(0, {_RULE_REPOS})) AS k FROM documents),
+rules AS (SELECT concat('src', CAST(k AS STRING)) AS repo, doc_id AS ord, {_RULE_KIND} AS kind,
+    CASE {_RULE_KIND} WHEN 0 THEN concat(lang, '/doc_', CAST(doc_id AS STRING), '.py')
+      WHEN 1 THEN concat('doc_', CAST(doc_id AS STRING), '.md') WHEN 2 THEN concat('doc_', CAST(doc_id AS STRING), '.json')
+      WHEN 3 THEN CASE WHEN doc_id % 100 = 3 THEN '.ts' ELSE concat('.x', CAST(doc_id AS STRING)) END
+      WHEN 4 THEN concat('build/doc_', CAST(doc_id AS STRING), '.csv') WHEN 5 THEN concat(lang, '/build')
+      WHEN 6 THEN concat('doc_', CAST(doc_id AS STRING), '.h') WHEN 7 THEN 'build'
+      ELSE concat('doc_', CAST(doc_id AS STRING)) END AS core FROM numbered WHERE doc_id IS NOT NULL)"""
+
+
+def _rule_table(spark, folder):
+    """A rule for each document and each of 20 repos: paths, names, endings, directories and, a
+    few, true globs, some of them negated."""
+    docs = tables.table(spark, folder, "documents").where("doc_id IS NOT NULL").select("doc_id", "lang")
+    docs = docs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(_RULE_REPOS - 1))))
+    kind = F.expr(_RULE_KIND)
+    of = lambda *parts: F.concat(*(F.lit(p) if p != "lang" else F.col("lang") for p in parts[:-1]), F.col("doc_id").cast("string"), F.lit(parts[-1]))
+    pattern = (
+        F.when(kind == 0, of("/", "lang", "/doc_", ".py"))
+        .when(kind == 1, of("doc_", ".md"))
+        .when(kind == 2, of("!doc_", ".json"))
+        .when(kind == 3, F.when(F.col("doc_id") % 100 == 3, "*.ts").otherwise(of("*.x", "")))
+        .when(kind == 4, of("build/doc_", ".csv"))
+        .when(kind == 5, F.concat(F.lit("!"), F.col("lang"), F.lit("/build/")))
+        .when(kind == 6, of("**/doc_", ".h"))
+        .when(kind == 7, F.lit("build/*"))
+        .when((kind == 8) & (F.col("doc_id") % 500 == 8), of("?[!x]/doc_", "*.*"))
+        .when(kind == 8, of("doc_", "/"))
+        .otherwise(of("!/doc_", ""))
+    )
+    return docs.select(F.concat(F.lit("src"), F.col("k").cast("string")).alias("repo"), F.col("doc_id").alias("ord"), pattern.alias("pattern"))
+
+
+@query(
+    "ignore_rule_index",
+    f"""WITH {FILES}, {_RULE_TABLE}, names AS (SELECT doc_id, repo, path, regexp_extract(path, '[^/]*$') AS name FROM files),
+hits AS (SELECT f.doc_id, r.ord, kind IN (2, 5, 9) AS negated FROM names f JOIN rules r ON f.repo = r.repo AND CASE
+    WHEN kind = 0 THEN path = core OR name = core
+    WHEN kind IN (1, 2, 4) THEN path = core OR ends_with(path, '/' || core)
+    WHEN kind = 3 THEN ends_with(path, core)
+    WHEN kind = 5 THEN path = core OR starts_with(path, core || '/') OR ends_with(path, '/' || core)
+    WHEN kind = 6 THEN ends_with(path, '/' || core)
+    WHEN kind = 7 THEN starts_with(path, 'build/') OR contains(path, '/build/')
+    WHEN kind = 8 AND r.ord % 500 = 8 THEN regexp_matches(path, '(?s)^(.*/)?.[^x]/' || core || '.*[.].*$')
+    WHEN kind = 8 THEN path = core OR starts_with(path, core || '/') OR ends_with(path, '/' || core)
+    ELSE path = core OR name = core END),
+last AS (SELECT doc_id, max(ord) AS ord, arg_max(negated, ord) AS negated FROM hits GROUP BY doc_id)
+SELECT f.doc_id, coalesce(NOT negated, false) AS ignored, ord FROM files f LEFT JOIN last USING (doc_id)""",
+)
+def ignore_rule_index(spark, folder):
+    """The last of a thousand rules and more of its repo that matches each file."""
+    files = tables.files(spark, folder).select("doc_id", "repo", "path")
+    last = rule_index.last_rule(files, _rule_table(spark, folder))
+    return files.join(last, ["repo", "path"], "left").select(
+        "doc_id", F.coalesce(~F.col("negated"), F.lit(False)).alias("ignored"), "ord"
+    )
+
+
 @query("scan_summary", f"""WITH {_DECIDED}, c AS (
   SELECT count(*) AS scanned, count(*) FILTER (ignored) AS skipped, count(*) FILTER (NOT ignored) AS included FROM judged)
 SELECT scanned, skipped, included, (SELECT string_agg(p, ' ' ORDER BY p) FROM (
@@ -326,6 +388,28 @@ def change_detect(spark, folder):
     return ops.detect_changes(old, ops.documents_of(next_files(spark, folder)))
 
 
+@query(
+    "change_stream",
+    f"""WITH {_NEXT} SELECT 0 AS snapshot, repo, path, 'created' AS event_type FROM files
+UNION ALL SELECT 1, coalesce(o.repo, n.repo), coalesce(o.path, n.path), CASE WHEN o.path IS NULL THEN 'created'
+  WHEN n.path IS NULL THEN 'deleted' ELSE 'modified' END
+FROM files o FULL JOIN next_files n ON o.repo = n.repo AND o.path = n.path WHERE sha256(o.text) IS DISTINCT FROM sha256(n.text)""",
+)
+def change_stream(spark, folder):
+    """Changes that a stream reads from two recorded listings, the second recorded while the
+    stream's checkpoint stands behind the first."""
+    base = run_folder(spark, "listings")
+    listings = Listings(spark, f"{base}/listings")
+    for state in (tables.files(spark, folder), next_files(spark, folder)):
+        listings.record(ops.documents_of(state))
+        drain(
+            listings.stream().writeStream.format("parquet").option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        )
+    out = spark.read.schema(CHANGES).parquet(f"{base}/out")
+    return out.select("snapshot", "repo", "path", "event_type")
+
+
 @query(
     "documents_write",
     f"""WITH {_NEXT} SELECT repo, path, sha256(text) AS blob_sha FROM next_files
@@ -466,6 +550,36 @@ def code_symbols(spark, folder):
     return symbols.extract_symbols(sources, language=F.lit("python"))
 
 
+_NO_METHOD = "'if', 'for', 'while', 'switch', 'catch', 'return', 'function'"
+
+
+@query(
+    "brace_symbols",
+    f"""WITH {lines_of('documents')}, {each_line(columns='doc_id')},
+code AS (SELECT doc_id, line - 1 AS i, nullif(regexp_extract(raw, '[A-Za-z]+'), '') AS name FROM line_rows),
+placed AS (SELECT *, 1 + coalesce(sum(CASE WHEN i % 3 = 1 AND name IS NOT NULL THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line, lag(name) OVER (PARTITION BY doc_id ORDER BY i) AS above FROM code)
+SELECT doc_id, name, 'class' AS kind, CAST(line AS INTEGER) AS line, NULL AS signature, NULL AS scope FROM placed
+WHERE i % 3 = 0 AND name IS NOT NULL
+UNION ALL SELECT doc_id, name, 'method', CAST(line AS INTEGER), '( x)', above FROM placed
+WHERE i % 3 = 1 AND name IS NOT NULL AND above IS NOT NULL AND name NOT IN ({_NO_METHOD})""",
+)
+def brace_symbols(spark, folder):
+    """Definitions in TypeScript sources spelled from the documents: of every three lines the
+    first opens a class, the second is a method over two lines, with a brace in a string, and
+    the third closes the class. A line without a word is a comment that holds a brace."""
+    word = lambda x: F.regexp_extract(x, "[A-Za-z]+", 0)
+    code = F.transform(
+        text_lines("text"),
+        lambda x, i: F.when(i % 3 == 2, "}")
+        .when(word(x) == "", "// {")
+        .when(i % 3 == 0, F.concat(F.lit("class "), word(x), F.lit(" {")))
+        .otherwise(F.concat(F.lit("  "), word(x), F.lit("(\n    x) { return '}' }"))),
+    )
+    sources = tables.files(spark, folder).select("doc_id", F.array_join(code, "\n").alias("text"))
+    return braces.brace_symbols(sources, language=F.lit("typescript"))
+
+
 @query(
     "symbol_orphans",
     f"""WITH s AS ({_HTML}), docs AS (SELECT page_id, {_HOSTS} AS repo, {_RESTS} AS path FROM pages WHERE NOT contains(url, '?')),
@@ -591,6 +705,19 @@ def stale_page(spark, folder):
     return reports.stale_page(marked_documents(spark, folder), 2)
 
 
+@query(
+    "stale_page_deep",
+    f"""WITH {_MARKED}, stale AS (SELECT repo, path, error, row_number() OVER (ORDER BY repo, path) AS place,
+    count(*) OVER () AS n FROM marked WHERE missing OR error IS NOT NULL)
+SELECT repo, path, error FROM stale WHERE (place - 1) // 20 = (n // 20) * 9 // 10""",
+)
+def stale_page_deep(spark, folder):
+    """A page nine tenths into the stale documents, read from the range that holds it."""
+    stale = reports.stale_documents(marked_documents(spark, folder))
+    index = pages.build_pages(stale, ["repo", "path"], run_folder(spark, "pages"), range_rows=1000)
+    return index.page(index.total() // 20 * 9 // 10 + 1)
+
+
 @query(
     "storage_footprint",
     f"""WITH {FILES} SELECT repo, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM files GROUP BY repo""",
@@ -652,6 +779,23 @@ def log_tail(spark, folder):
     return tree.log_tail(log, order="event_id")
 
 
+@query(
+    "log_tail_files",
+    """SELECT user_id % 16 AS log, concat(CAST(event_id AS STRING), ' ', event_type, ' ', props) AS text, CAST(n AS INTEGER) AS back
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id DESC) AS n FROM events) WHERE n <= 50""",
+)
+def log_tail_files(spark, folder):
+    """The last 50 lines of each of 16 logs, written from the events and read from their ends."""
+    base = run_folder(spark, "logs")
+    line = F.concat_ws(" ", F.col("event_id").cast("string"), "event_type", "props")
+    events = tables.table(spark, folder, "events").select((F.col("user_id") % 16).alias("log"), "event_id", line.alias("value"))
+    # A log has most of its lines in one file, as logs do: sixteen tasks write a file each.
+    ordered = events.repartition(16, "log").sortWithinPartitions("log", "event_id")
+    ordered.select("log", "value").write.partitionBy("log").text(base)
+    tails = tail.tail_files(spark, base, 50)
+    return tails.select(F.regexp_extract("file", "/log=(-?[0-9]+)/", 1).cast("long").alias("log"), "text", "back")
+
+
 @query(
     "content_hash",
     "SELECT page_id, sha256(html) AS sha FROM pages",

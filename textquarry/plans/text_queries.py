@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunks, postings, search
+from ..operators import bitmaps, chunks, postings, search
 from ..operators.ignore import embed_allowed
 from ..functions.records import notebook_text
+from ..operators.sizing import staged
+from ..session import run_folder
 from ..sources import tables
 from .registry import (
     FILES,
@@ -76,6 +78,30 @@ def search_code_multi_postings(spark, folder):
     )
 
 
+def _bitmaps(spark, folder, files):
+    """A bitmap index of the files, built anew below the shared folder."""
+    pairs = staged(postings.gram_pairs(files), "gram-pairs")
+    return bitmaps.build_bitmaps(pairs, run_folder(spark, "bitmaps"))
+
+
+@query(
+    "posting_bitmaps",
+    f"""WITH {grams_of('documents')}, numbers AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS number FROM (SELECT DISTINCT doc_id FROM pairs))
+SELECT gram, 1 + (number - 1) // {bitmaps.BUCKET} AS bucket, count(*) AS n_docs
+FROM pairs JOIN numbers USING (doc_id) GROUP BY ALL""",
+)
+def posting_bitmaps(spark, folder):
+    """Documents of each gram and bucket, counted on the stored bitmaps and lists."""
+    return _bitmaps(spark, folder, tables.table(spark, folder, "documents")).sizes()
+
+
+@query("search_bitmaps", _MANY)
+def search_bitmaps(spark, folder):
+    files = tables.files(spark, folder)
+    return _bitmaps(spark, folder, files).search(files, benchmark_queries(spark, folder))
+
+
 @query(
     "search_repo",
     f"""WITH {_LINES} SELECT repo, path, line, {stripped('raw')} AS text FROM line_rows

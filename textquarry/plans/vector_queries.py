@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import reports, semantic
-from ..session import shared_folder
+from ..operators.cells import build_cells
+from ..session import run_folder
 from ..sources import tables
-from ..streaming import debounce
+from ..streaming import debounce, timers
 from ..streaming.apply import drain
 from .registry import FILES, lines_of, query, words
 from .vector_index import embedded_chunks
@@ -186,6 +187,24 @@ def semantic_prefer_code(spark, folder):
     )
 
 
+def _cells(spark, folder):
+    """A cell index of all chunk vectors, built anew below the shared folder."""
+    return build_cells(tables.chunk_vectors(spark, folder), run_folder(spark, "cells"))
+
+
+@query("semantic_index_pool", _ranked_sql(10))
+def semantic_index_pool(spark, folder):
+    near = _cells(spark, folder).nearest(centroid_queries(spark, folder), 10)
+    return near.select("query_id", "chunk_id", "repo", F.round("distance", 6).alias("distance"))
+
+
+@query("semantic_index", _ranked_sql(50, "default").replace("<= 20", "<= 10"))
+def semantic_index(spark, folder):
+    """The ten best of pools that are found through a cell index."""
+    chunks = tables.chunk_vectors(spark, folder)
+    return _shown(semantic.semantic_search(chunks, centroid_queries(spark, folder), k=10, index=_cells(spark, folder)))
+
+
 # --- embedding -------------------------------------------------------------------------------------
 
 
@@ -254,9 +273,7 @@ def debounce_batch(spark, folder):
 def debounce_stream(spark, folder):
     """The same over a stream that reads the events to their end and then closes every
     period with one event from the far future."""
-    from .file_queries import _run_id
-
-    base = shared_folder(spark, f"debounce-{_run_id()}")
+    base = run_folder(spark, "debounce")
     events = tables.table(spark, folder, "events")
     closing = events.limit(0).schema
     end = f"{base}/end"
@@ -292,6 +309,28 @@ def debounce_stream(spark, folder):
     return _in_micros(spark.read.schema(quiet.schema).parquet(f"{base}/out")).where("path <> 'f-1.py'")
 
 
+_FIRED = _DEBOUNCED.replace("<= {0}".format(_GAP_HOURS * 3_600_000_000), "< {0}".format(_GAP_HOURS * 3_600_000_000))
+
+
+@query("debounce_timers", _FIRED)
+def debounce_timers(spark, folder):
+    """Periods that per-path timers report: events exactly the gap apart are two. The stream
+    ends with an event from the far future, which lets all timers run out."""
+    base = run_folder(spark, "timers")
+    events = tables.changes(spark, folder)
+    end = spark.createDataFrame([(-1, "end", "f-1.py", "modified")], "event_id long, repo string, path string, event_type string")
+    end = end.withColumn("ts", F.lit("2100-01-01").cast("timestamp")).select(*events.columns)
+    for part in (events, end):
+        part.write.mode("append").parquet(f"{base}/events")
+        source = spark.readStream.schema(events.schema).parquet(f"{base}/events")
+        quiet = timers.debounce_timers(source, _GAP_HOURS * 3600, watermark="40 days")
+        drain(
+            quiet.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True).start()
+        )
+    return _in_micros(spark.read.schema(quiet.schema).parquet(f"{base}/out")).where("repo <> 'end'")
+
+
 @query(
     "watch_filter",
     f"""WITH {_CHANGES}, places AS (SELECT event_id, repo, event_type, CASE

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,6 +57,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(tempfile.mkdtemp(prefix="textquarry-"), name)
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this run alone below the shared one."""
+    return shared_folder(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
 def clear_shared(spark: SparkSession) -> bool:
     """Remove all that operators have left below the shared folder. Results that were not
     computed yet may still read from there, so call it when a job has written its output."""
