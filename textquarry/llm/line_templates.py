@@ -18,21 +18,26 @@ FIELD = "<*>"
 
 
 def _tokens(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, "\t\r", "  "), " ", -1), lambda t: t != "")
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r"))  # few lines need the slow translation
+    spaced = F.when(odd, F.translate(line, "\t\r", "  ")).otherwise(line)
+    return F.filter(F.split(spaced, " ", -1), lambda t: t != "")
 
 
 def _masked(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), F.lit(FIELD)).otherwise(token)
 
 
-def _leaf(line: Column, shortest: int) -> Column:
-    """Hash of the token count and the leading tokens, which are not masked where no token
-    comes after them; null for lines below ``shortest`` tokens."""
+def _shape(line: Column, shortest: int, long: int | None) -> Column:
+    """(leaf, big) of a line, cut into tokens once. The leaf is a hash of the token count and the
+    leading tokens, which are not masked where no token comes after them; null for lines
+    below ``shortest`` tokens. Big are lines of more than ``long`` tokens."""
 
     def of(tokens: Column) -> Column:
         lead = [F.get(tokens, F.lit(i)) for i in range(LEADING)]
         leading = [F.when(F.size(tokens) > LEADING, _masked(x)).otherwise(x) for x in lead]
-        return F.when(F.size(tokens) >= shortest, F.xxhash64(F.size(tokens), *leading))
+        leaf = F.when(F.size(tokens) >= shortest, F.xxhash64(F.size(tokens), *leading))
+        big = F.lit(False) if long is None else F.size(tokens) > long
+        return F.struct(leaf.alias("leaf"), big.alias("big"))
 
     return F.transform(F.array(_tokens(line)), of)[0]
 
@@ -70,17 +75,15 @@ def dropped_lines(
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text")
     ).where("text IS NOT NULL")
-    def shown(line: Column) -> Column:
-        big = F.lit(False) if long is None else F.size(_tokens(line)) > long
-        return F.struct(_leaf(line, max(shortest, 1)).alias("leaf"), big.alias("big"))
 
-    leaves = rows.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), shown))).alias("of"))
+    shape = lambda line: _shape(line, max(shortest, 1), long)
+    leaves = rows.select(F.explode(F.array_distinct(F.transform(_lines(F.col("text")), shape))).alias("of"))
     leaves = leaves.select("of.*").where("leaf IS NOT NULL").groupBy("leaf", "big").agg(F.count(F.lit(1)).alias("n"))
     leaves = leaves.where((F.col("n") >= recurs) | (F.col("big") & (F.col("n") >= 2)))
     leaves = broadcast_if_small(staged(leaves.select("leaf", "big", (F.col("n") >= recurs).alias("many")), "leaves"))
 
     lines = rows.select("doc_id", "text_hash", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line"))
-    lines = lines.withColumn("leaf", _leaf(F.col("line"), max(shortest, 1))).join(leaves, "leaf")
+    lines = lines.withColumn("leaf", shape(F.col("line"))["leaf"]).join(leaves, "leaf")
     kept = staged(lines.withColumn("line_hash", F.xxhash64("line")), "lines")
     lines = kept.where("many").drop("many", "big").distinct()
 
