@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textquarry.operators import cells, semantic
 from textquarry.session import run_folder
@@ -88,3 +89,32 @@ def test_empty_and_odd_tables(spark, world):
     assert found(lone.nearest(asked, 3)) == found(semantic.nearest(odd, asked, 3))
     with pytest.raises(ValueError, match="length"):
         index.nearest(spark.createDataFrame([(1, [1.0, 2.0])], "query_id int, vector array<double>"), 3)
+
+
+def test_index_of_a_store(spark):
+    """Removed files leave the pools, though the cells still count their vectors."""
+    from textquarry.functions.vectors import hashing_embedder
+    from textquarry.plans import index, vector_index
+    from textquarry.sources.store import Store
+
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(f"r{i % 2}", f"d{i}.py", "\n".join(" ".join(rng.choice(words[i % 5 * 8 : i % 5 * 8 + 8], 6)) for _ in range(4))) for i in range(60)]
+    store = Store(spark, run_folder(spark, "cell-store"))
+    index.index_repositories(store, spark.createDataFrame(texts, "repo string, path string, text string"))
+    vector_index.build_vectors(store, lambda: hashing_embedder(16), 1, dim=16)
+    vector_index.index_vectors(store, "a", cells=5)
+    asked = spark.createDataFrame([("w0 w1 w2",), ("w17 w20",)], "query string").withColumn("query_id", F.monotonically_increasing_id())
+    asked = semantic.embed_queries(asked, hashing_embedder(16))
+
+    def both():
+        key = lambda df: sorted((r.query_id, r.repo, r.path, r.chunk_index, round(r.score, 6)) for r in df.collect())
+        options = {"k": 5, "candidate_limit": 5}
+        got = key(vector_index.search_vectors(store, asked, "a", **options))
+        assert got == key(vector_index.search_vectors(store, asked, **options)) and len(got) == 10
+        return got
+
+    before = both()
+    gone = spark.createDataFrame([(r[1], r[2]) for r in before if r[0] == before[0][0]], "repo string, path string")
+    index.remove_files(store, gone)
+    assert not {r[2] for r in both() if r[0] == before[0][0]} & {r[2] for r in before if r[0] == before[0][0]}

@@ -75,14 +75,16 @@ def test_nearest_with_a_hot_repo_of_copies(spark, pool, monkeypatch):
         assert {(r.repo, r.chunk_id) for r in got if r.query_id == j} == brute_pool(rows, q, pool)
 
 
-def test_more_queries_than_a_pass_holds(spark, monkeypatch):
+@pytest.mark.parametrize("limits", [{"QUERIES_PER_PASS": 5}, {"_FEW_ROWS": 0, "_PASS_ROWS": 60}])
+def test_more_queries_than_a_pass_holds(spark, monkeypatch, limits):
     chunks, rows = cloud(spark, 300, 3)
     rng = np.random.default_rng(5)
     asked = rng.normal(size=(23, 8))
     queries = spark.createDataFrame(
         [(i, v.tolist()) for i, v in enumerate(asked)], "query_id int, vector array<double>"
     )
-    monkeypatch.setattr(semantic, "QUERIES_PER_PASS", 5)
+    for name, value in limits.items():
+        monkeypatch.setattr(semantic, name, value)
     got = semantic.nearest(chunks, queries, 4).collect()
     for j, q in enumerate(asked):
         assert {(r.repo, r.chunk_id) for r in got if r.query_id == j} == brute_pool(rows, q, 4)

@@ -43,7 +43,7 @@ def document_numbers(doc_ids: DataFrame, key: str = "doc_id") -> DataFrame:
 class BitmapIndex:
     """Tables below a folder that all executors share: ``numbers`` (doc_id, number), ``bits``
     (gram, bucket, n_docs, bits) and ``lists`` (gram, bucket, n_docs, places), the last two
-    laid out by gram, so that a search reads the files and row groups of its grams."""
+    in order of grams inside their files, so that a search reads the row groups of its grams."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -95,9 +95,9 @@ class BitmapIndex:
 def build_bitmaps(pairs: DataFrame, folder: str, *, dense: int = DENSE) -> BitmapIndex:
     """Store long-form postings (gram, doc_id) as bitmaps in a new folder.
 
-    Places of a gram and bucket meet once, at most BUCKET of them; where they are ``dense``
-    or more ``bitmap_construct_agg`` makes their bitmap. ``pairs`` is read twice, so pass a
-    stored table; rows that repeat count once.
+    Places of a gram and bucket meet once, combined on the map side and at most BUCKET of
+    them; where they are ``dense`` or more they become a bitmap. ``pairs`` is read twice, so
+    pass a stored table; rows that repeat count once.
     """
     index = BitmapIndex(pairs.sparkSession, folder)
     document_numbers(pairs).write.mode("error").parquet(f"{index.folder}/numbers")
@@ -107,15 +107,27 @@ def build_bitmaps(pairs: DataFrame, folder: str, *, dense: int = DENSE) -> Bitma
     lists = numbered.groupBy("gram", "bucket").agg(F.sort_array(F.collect_set("place")).alias("places"))
     lists = staged(lists.withColumn("n_docs", F.size("places").cast("long")), "gram-places")
     few = lists.where(F.col("n_docs") < dense).select("gram", "bucket", "n_docs", "places")
-    _by_gram(few).write.mode("error").parquet(f"{index.folder}/lists")
-    many = lists.where(F.col("n_docs") >= dense).select("gram", "bucket", "n_docs", F.explode("places").alias("place"))
-    bits = many.groupBy("gram", "bucket", "n_docs").agg(F.bitmap_construct_agg(F.col("place").cast("long")).alias("bits"))
-    _by_gram(bits).write.mode("error").parquet(f"{index.folder}/bits")
+    many = lists.where(F.col("n_docs") >= dense).select("gram", "bucket", "n_docs", "places")
+    for name, rows in (("lists", few), ("bits", _as_bits(many))):
+        rows.sortWithinPartitions("gram", "bucket").write.mode("error").parquet(f"{index.folder}/{name}")
     return index
 
 
-def _by_gram(rows: DataFrame) -> DataFrame:
-    return rows.repartitionByRange("gram", "bucket").sortWithinPartitions("gram", "bucket")
+def _as_bits(rows: DataFrame) -> DataFrame:
+    """(gram, bucket, n_docs, places) with bitmaps, as ``bitmap_construct_agg`` makes them, in place
+    of the places; a row each, so nothing is shuffled again."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for places in batch.column("places"):
+                bits = np.zeros(BUCKET, np.uint8)
+                bits[places.values.to_numpy()] = 1
+                packed.append(np.packbits(bits, bitorder="little").tobytes())
+            columns = [batch.column(c) for c in ("gram", "bucket", "n_docs")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], ["gram", "bucket", "n_docs", "bits"])
+
+    return rows.mapInArrow(pack, "gram string, bucket long, n_docs long, bits binary")
 
 
 def _set_bits(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ QUERIES_PER_PASS = 4096
 DISTANCE_DECIMALS = 9
 _BLOCK = 1 << 22  # distances held at once per task
 _HELD = 1 << 17  # candidate rows held at least before they are cut again
+_PASS_ROWS = 1 << 23  # candidate rows that a pass leaves with a task, about
+_FEW_ROWS = 2000  # of one repo: below these repos are not counted
 # Spark cuts groups before the shuffle only for ranks up to its window group limit; larger
 # pools first rank inside salted sub-groups.
 _GROUP_LIMIT = 1000
@@ -65,11 +67,16 @@ def nearest(
     ``queries`` has (query_id, vector). Distance is one minus cosine similarity; a vector of
     another length is at distance 1. Each task scores its chunks against the query matrix,
     holds the nearest rows of every query and repo through its whole partition, and passes
-    them on at the end: at most repos * queries * ``pool`` rows a partition. Queries beyond
-    one pass are split by a hash of their id into more passes over the chunks.
+    them on at the end: at most repos * queries * ``pool`` rows a partition, which bounds the
+    queries of a pass. Queries beyond one pass are split by a hash of their id into more
+    passes over the chunks.
     """
     total = queries.count()
-    passes = max(1, -(-total // QUERIES_PER_PASS))
+    most = QUERIES_PER_PASS
+    if total * pool > _FEW_ROWS:
+        repos = chunks.agg(F.approx_count_distinct("repo").alias("n")).first()["n"]
+        most = max(1, min(most, _PASS_ROWS // (pool * max(repos, 1))))
+    passes = max(1, -(-total // most))
     scored = None
     for part in range(passes):
         some = queries
