@@ -155,9 +155,11 @@ def build_cells(
 def _nearest_centroid(column: pa.Array, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cell of each vector and its distance from the centroid; ODD where it has no direction."""
     cell, away = np.full(len(column), ODD, np.int32), np.zeros(len(column))
+    if not len(centers):
+        return cell, away
     m, good = matrix_of(column, centers.shape[1])
     good &= (m * m).sum(axis=1) > 0
-    if len(centers) and good.any():
+    if good.any():
         u = unit_rows(m[good])
         square = (u * u).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :] - 2 * (u @ centers.T)
         cell[good] = square.argmin(axis=1)
