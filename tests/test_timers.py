@@ -88,3 +88,23 @@ def test_hot_path_is_folded_before_the_shuffle(spark):
 def test_unknown_time(spark):
     with pytest.raises(ValueError, match="unknown time"):
         timers.debounce_timers(events(spark, []), time="wall")
+
+
+def test_query_in_a_session_with_the_default_state_store(spark, tmp_path):
+    from textquarry import session
+    from textquarry.plans.vector_queries import debounce_timers
+
+    hours = [0, 1, 3, 5, 5.5]  # two hours apart are two periods
+    rows = [(i, f"2024-01-01 {int(h):02}:{int(h % 1 * 60):02}:00", 7, "click", 0.0, "{}") for i, h in enumerate(hours)]
+    made = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    made.selectExpr("event_id", "CAST(ts AS timestamp_ntz) ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get(session.STATE_STORE)
+    default = before.replace("RocksDBStateStoreProvider", "HDFSBackedStateStoreProvider")
+    spark.conf.set(session.STATE_STORE, default)
+    try:
+        got = debounce_timers(spark, str(tmp_path)).collect()
+        assert spark.conf.get(session.STATE_STORE) == default
+    finally:
+        spark.conf.set(session.STATE_STORE, before)
+    periods = sorted((r.path, r.events, r.last_us - r.first_us) for r in got)
+    assert periods == [("f7.py", 1, 0), ("f7.py", 2, 1_800_000_000), ("f7.py", 2, 3_600_000_000)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import reports, semantic
 from ..operators.cells import build_cells
-from ..session import run_folder
+from ..session import run_folder, state_on_disk
 from ..sources import tables
 from ..streaming import debounce, timers
 from ..streaming.apply import drain
@@ -324,10 +324,11 @@ def debounce_timers(spark, folder):
         part.write.mode("append").parquet(f"{base}/events")
         source = spark.readStream.schema(events.schema).parquet(f"{base}/events")
         quiet = timers.debounce_timers(source, _GAP_HOURS * 3600, watermark="40 days")
-        drain(
-            quiet.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-            .trigger(availableNow=True).start()
-        )
+        with state_on_disk(spark):
+            drain(
+                quiet.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+                .trigger(availableNow=True).start()
+            )
     return _in_micros(spark.read.schema(quiet.schema).parquet(f"{base}/out")).where("repo <> 'end'")
 
 

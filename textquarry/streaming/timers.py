@@ -119,8 +119,9 @@ def debounce_timers(
     them, in whatever order and micro-batches events come. ``time="processing"`` goes by the
     clock: everything that arrives for a path before its timer runs out is one period. State
     is a path's open periods, of which the watermark's delay bounds the number, and goes with
-    the last of them; it lies in RocksDB (``session.SETTINGS``) and in the checkpoint, so
-    pending paths outlive a restart. Events later than the watermark are dropped, see
+    the last of them; it lies in RocksDB and in the checkpoint, so pending paths outlive a
+    restart. In a session without ``session.SETTINGS`` start the stream inside
+    ``session.state_on_disk``. Events later than the watermark are dropped, see
     :func:`debounce.record_late`.
     """
     if time not in ("event", "processing"):
