@@ -106,6 +106,16 @@ class Store:
         current = self.documents().select("doc_id", F.col(at).alias("batch"))
         return self.log(table).join(current, ["doc_id", "batch"], "left_semi").drop("batch")
 
+    def _kept(self, table: str) -> DataFrame:
+        """:meth:`live` for reading a whole table. What is not live is little as a rule: the keys
+        of that are found first, and the rows themselves are not shuffled to meet the documents."""
+        at = "vector_batch" if table == "vectors" else "content_batch"
+        current = self.documents().select("doc_id", F.col(at).alias("batch"))
+        log = self.log(table).where(F.col("doc_id").isNotNull())
+        keys = log.select("doc_id", "batch").distinct()
+        dead = staged(keys.join(current, ["doc_id", "batch"], "left_anti"), f"dead-{table}")
+        return log.join(broadcast_if_small(dead), ["doc_id", "batch"], "left_anti").drop("batch")
+
     def blobs(self) -> DataFrame:
         """Contents that a live document uses (unused ones are gone from every reading)."""
         used = self.documents().select("blob_sha").distinct()
@@ -139,10 +149,10 @@ class Store:
         out = Store(self.spark, target)
         docs = self.documents()
         out.write("blobs", 0, self.blobs())
-        postings = self.live("postings").repartitionByRange("gram", "doc_id")
+        postings = self._kept("postings").repartitionByRange("gram", "doc_id")
         out.write("postings", 0, postings.sortWithinPartitions("gram", "doc_id"))
-        out.write("symbols", 0, self.live("symbols"))
-        out.write("vectors", 0, self.live("vectors"))
+        out.write("symbols", 0, self._kept("symbols"))
+        out.write("vectors", 0, self._kept("vectors"))
         moved = {
             "deleted": F.lit(False),
             "content_batch": F.lit(0),
