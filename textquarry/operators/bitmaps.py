@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import trigrams
+from .postings import doc_runs, value_lists
 from .search import candidate_lines, usable_queries
 from .sizing import broadcast_if_small, staged
 
@@ -95,16 +96,16 @@ class BitmapIndex:
 def build_bitmaps(pairs: DataFrame, folder: str, *, dense: int = DENSE) -> BitmapIndex:
     """Store long-form postings (gram, doc_id) as bitmaps in a new folder.
 
-    Places of a gram and bucket meet once, combined on the map side and at most BUCKET of
-    them; where they are ``dense`` or more they become a bitmap. ``pairs`` is read twice, so
+    Numbers meet the runs of a document's grams (:func:`postings.doc_runs`), not each pair.
+    Places of a gram and bucket meet once, combined on the map side and at most BUCKET of them; where they are ``dense`` or more they become a bitmap. ``pairs`` is read twice, so
     pass a stored table; rows that repeat count once.
     """
     index = BitmapIndex(pairs.sparkSession, folder)
     document_numbers(pairs).write.mode("error").parquet(f"{index.folder}/numbers")
-    numbered = pairs.join(broadcast_if_small(index.numbers()), "doc_id").select(
-        "gram", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").cast("int").alias("place")
+    numbered = doc_runs(pairs).join(broadcast_if_small(index.numbers()), "doc_id").select(
+        F.explode("grams").alias("gram"), F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").cast("int").alias("place")
     )
-    lists = numbered.groupBy("gram", "bucket").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    lists = value_lists(numbered, ["gram", "bucket"], "place", "places")
     lists = staged(lists.withColumn("n_docs", F.size("places").cast("long")), "gram-places")
     few = lists.where(F.col("n_docs") < dense).select("gram", "bucket", "n_docs", "places")
     many = lists.where(F.col("n_docs") >= dense).select("gram", "bucket", "n_docs", "places")
