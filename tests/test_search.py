@@ -160,3 +160,35 @@ def test_registry(spark):
     kept = {tuple(r) for r in file_ops.upsert_repos(old, new, insert_only=True).collect()}
     assert kept == {("a", "/a", 1), ("b", "/b", 2), ("c", "/c", 4)}
     assert [r.repo for r in file_ops.list_repos(old).collect()] == ["a", "b"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merged_postings_travel_by_document(spark):
+    old = spark.createDataFrame([("abc", 1), ("abc", 1), ("abd", 1), ("abc", None), ("abe", 2)], "gram string, doc_id long")
+    new = spark.createDataFrame([("abc", 1), ("xyz", 1), ("abc", None), ("abc", 3)], "gram string, doc_id long")
+    merged = postings.merge_postings(old, new)
+    got = [tuple(r) for r in merged.collect()]
+    assert len(got) == len(set(got)) == 6
+    assert set(got) == {("abc", 1), ("abd", 1), ("xyz", 1), ("abc", None), ("abe", 2), ("abc", 3)}
+    assert "hashpartitioning(gram" not in _plan(merged)  # a pair each
+
+
+def test_posting_lists_are_folded_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(postings, "_BLOCK", 50)
+    rows = [(g, d) for d in [*range(300), *range(0, 300, 7), None] for g in ("abc", "abd")]
+    lists = postings.posting_lists(spark.createDataFrame(rows, "gram string, doc_id long"), 4)
+    got = {}
+    for r in lists.collect():
+        assert r.doc_ids == sorted(set(r.doc_ids)) and r.n_docs == len(r.doc_ids)
+        got.setdefault(r.gram, []).extend(r.doc_ids)
+    assert {g: sorted(v) for g, v in got.items()} == {"abc": list(range(300)), "abd": list(range(300))}
+    assert "collect_set" not in _plan(lists) and "MapInArrow" in _plan(lists)
+
+
+def test_ordered_pairs_come_in_blocks_of_order(spark):
+    docs = spark.createDataFrame([(i, f"Text {i} \U0001f600 of ab") for i in (9, 2, 5)] + [(4, None)], "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in postings.ordered_pairs(docs).collect()]
+    assert got == sorted(got) and set(got) == {(r.gram, r.doc_id) for r in postings.gram_pairs(docs).collect()}
