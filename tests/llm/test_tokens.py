@@ -27,6 +27,18 @@ def test_encoder_gives_the_library_ids(path, monkeypatch):
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == want, repr(text)
 
 
+@pytest.mark.parametrize("group", [1, 300, 1 << 22])
+def test_encoder_gives_the_library_ids_by_groups(group, monkeypatch):
+    monkeypatch.setattr(tokens, "_GROUP", group)
+    enc, lib, rnd = tokens.Encoder(WORD, kept=50), Tokenizer.from_file(WORD), random.Random(2)
+    texts = [None, "", " ", "  x", "x  ", "a\xa0b", "É<|endoftext|>x", "a\x1cb", "a\u2028b", "Don't  STOP.", "Été\tété"]
+    texts += ["".join(rnd.choice(" \n\t\r\x0b\x0cabAB1'!é$<|,_ж") for _ in range(rnd.randint(0, 90))) for _ in range(200)]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in enc.encode_all(iter(texts))]
+    assert got == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not enc.pieces or group == 1  # words are not kept, only their parts
+    assert len(enc.parts) <= 50 and list(enc.encode_all([])) == []
+
+
 def test_caches_are_bounded():
     cache = tokens.Cache(len, kept=10)
     for i in range(1000):

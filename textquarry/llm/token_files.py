@@ -22,6 +22,7 @@ MAGIC = b"TQS8B001"
 END_ID = 2
 SHARD_IDS = 1 << 24
 _GROUP = simple8b.BLOCK * 512  # ids encoded at once
+_KEPT = 200_000  # parts of words in one generation of a worker's cache
 
 _MANIFEST = "part int, shard int, file string, n_docs long, n_ids long"
 
@@ -101,7 +102,7 @@ def write_token_files(
 
         where, root = files.FileSystem.from_uri(folder)
         where.create_dir(root, recursive=True)
-        context, enc, done = TaskContext.get(), encoder(tokenizer), []
+        context, enc, done = TaskContext.get(), encoder(tokenizer, _KEPT), []
         part, attempt = context.partitionId(), context.taskAttemptId()
         end = np.array([end_id], "<u4").tobytes()
 
@@ -114,8 +115,9 @@ def write_token_files(
 
         shard = ShardWriter()
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                shard.add(doc_id, enc.encode(text.as_py()) + end)
+            encoded = enc.encode_all(t.as_py() for t in batch.column("text"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded):
+                shard.add(doc_id, ids + end)
                 if shard.n_ids >= shard_ids:
                     close(shard)
                     shard = ShardWriter()

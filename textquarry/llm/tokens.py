@@ -11,9 +11,11 @@ import json
 import re
 import string
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .worker import shared
@@ -23,6 +25,7 @@ _SPACE_RUNS = [c + " " for c in " \n\t\r\x0b\x0c"]  # a space after these is not
 _LONGEST = 48  # characters of a piece that is kept
 KEPT = 500_000  # pieces in one generation of a cache
 _SLAB = 1 << 19  # characters of a text encoded at once
+_GROUP = 1 << 22  # characters of texts whose words are told apart at once
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -117,6 +120,33 @@ class Encoder:
             return self.whole(text)
         return self._slab(text) if len(text) <= _SLAB else b"".join(map(self._slab, slabs(text)))
 
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """:meth:`encode` of every text in order. Words are told apart in groups of texts, and
+        only the distinct ones meet the cache of parts, so no word is kept as it stands."""
+        group, alone, n = [], {}, 0
+        for text in texts:
+            text = text or ""
+            if self.kind != "words" or len(text) > _GROUP or not self.plain(text):
+                alone[len(group)] = self.encode(text)
+                text = ""
+            group.append(text)
+            n += len(text) + 1
+            if n >= _GROUP:
+                yield from self._grouped(group, alone)
+                group, alone, n = [], {}, 0
+        yield from self._grouped(group, alone)
+
+    def _grouped(self, texts: list[str], alone: dict[int, bytes]) -> Iterator[bytes]:
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))  # plain texts have no other space
+        coded = words.values.dictionary_encode()
+        distinct = [self._piece(w) if w else b"" for w in coded.dictionary.to_pylist()]
+        ids = pa.array(distinct, pa.large_binary()).take(coded.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int64, len(ids) + 1)[words.offsets.to_numpy()].tolist()
+        held = memoryview(data or b"")
+        for i in range(len(texts)):
+            yield alone[i] if i in alone else bytes(held[ends[i] : ends[i + 1]])
+
     def _slab(self, text: str) -> bytes:
         if self.kind == "words" or any(s in text for s in _SPACE_RUNS):
             return b"".join(map(self.pieces.__getitem__, self.split(text)))
