@@ -64,6 +64,22 @@ def test_no_expression_per_row_and_few_keys_of_a_deep_path(spark):
     assert "RLIKE" not in plan and "Join" in plan
 
 
+def test_globs_meet_only_paths_with_their_literal(spark):
+    """As many globs as files: the expressions tried do not grow with their product."""
+    assert [rule_index.literal_of(p) for p in ("?[!x]/doc_8*.*", "a*bcd", "[ab].py", "*", "x[yz", "[]q]rs?", "/ab/**/c?d/", "**")] == ["doc_8", "bcd", ".py", "", "x", "rs", "ab", ""]
+    n = 300
+    rules = [("r", 2 * i, f"?[!x]/d{i}z*.*") for i in range(n)] + [("r", 2 * i + 1, f"!*d{i}z*[ab]") for i in range(n)] + [("r", -1, "?[a-z]/*")]
+    files = [("r", f"en/d{i}z.{end}") for i in range(n) for end in ("a", "c")] + [("r", "en/q"), ("r", "xx/q"), ("s", "en/d1z.a")]
+    table = spark.createDataFrame(rules, "repo string, ord int, pattern string")
+    tree = spark.createDataFrame(files, "repo string, path string")
+    got = {(r.repo, r.path): (r.ord, r.negated) for r in rule_index.last_rule(tree, table).collect()}
+    want = {("r", f"en/d{i}z.{end}"): (2 * i + (end == "a"), end == "a") for i in range(n) for end in ("a", "c")}
+    assert got == want | {("r", "en/q"): (-1, False), ("r", "xx/q"): (-1, False)}
+    globs = rule_index.compiled_rules(table).where("literal <> ''").select("repo", "literal")
+    met = rule_index._literal_parts(tree, rule_index.compiled_rules(table)).join(globs, ["repo", "literal"])
+    assert met.count() <= 2 * 2 * n
+
+
 def test_watched_events(spark):
     rules = spark.createDataFrame([("a", 0, "*.log"), ("a", 1, "!keep.log"), ("b", 0, "/x/")], "repo string, ord int, pattern string")
     events = list(itertools.product("ab", ["t.log", "keep.log", "x/y", ".git/config"]))

@@ -33,6 +33,9 @@ ENDING_BELOW = "f"  # the same, of a path with a directory
 DIR_ENDING = "d"  # the end of a directory's name, from a dot on
 _ENDINGS = (ENDING, ENDING_BELOW, DIR_ENDING)
 _GLOB = re.compile(r"[*?\[]")
+_BETWEEN = re.compile(r"[*?/\\]")
+_ROWS = 1 << 16  # literals of an output batch, beside those of a last path
+_LISTS = 1024  # lists of globs that a task keeps compiled
 
 
 def keys_of(pattern: str, *, strict: bool = False) -> list[str] | None:
@@ -87,22 +90,31 @@ def _strict_keys(pattern: str) -> list[str] | None:
     return None
 
 
+def literal_of(pattern: str) -> str:
+    """The longest run of plain characters that a path must have in one of its parts to match a
+    true glob; empty if there is none. What lies between brackets is not looked at."""
+    head, *rest = pattern.split("[", 1)
+    runs = _BETWEEN.split(head) + (_BETWEEN.split(rest[0].rsplit("]", 1)[1]) if rest and "]" in rest[0] else [])
+    return max(runs, key=len)
+
+
 def compiled_rules(patterns: DataFrame, *, strict: bool = False) -> DataFrame:
-    """(repo, ord, negated, keys, regex) of (repo, ord, pattern): keys where equality decides,
-    else a regular expression. Empty patterns are left out."""
+    """(repo, ord, negated, keys, regex, literal) of (repo, ord, pattern): keys where equality
+    decides, else a regular expression and its literal. Empty patterns are left out."""
 
-    @F.pandas_udf("keys array<string>, regex string")
+    @F.pandas_udf("keys array<string>, regex string, literal string")
     def compiled(pattern):
         import pandas as pd
 
         keys = [keys_of(p, strict=strict) for p in pattern]
         glob = [None if k else paths.pattern_regex(p, strict=strict).replace(r"\z", r"\Z") for k, p in zip(keys, pattern)]
-        return pd.DataFrame({"keys": keys, "regex": glob})
+        literal = [None if k else literal_of(p) for k, p in zip(keys, pattern)]
+        return pd.DataFrame({"keys": keys, "regex": glob, "literal": literal})
 
     negated = F.startswith(F.col("pattern"), F.lit("!"))
     body = F.when(negated, F.substring("pattern", 2, 2**31 - 1)).otherwise(F.col("pattern"))
     rules = patterns.where(F.length("pattern") > 0).select("repo", "ord", negated.alias("negated"), compiled(body).alias("c"))
-    return rules.select("repo", "ord", "negated", "c.keys", "c.regex")
+    return rules.select("repo", "ord", "negated", "c.keys", "c.regex", "c.literal")
 
 
 def path_keys(path: Column, depths: dict[str, int]) -> Column:
@@ -150,22 +162,54 @@ def _pattern(regex: str) -> re.Pattern:
     return re.compile(regex)
 
 
+def _literal_parts(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(repo, path, literal): of each file the literals, of a length that its repo's globs have,
+    that its path holds. The empty one is in every path."""
+    sizes = rules.groupBy("repo").agg(F.sort_array(F.collect_set(F.length("literal"))).alias("sizes"))
+    schema = T.StructType([*files.select("repo", "path").schema.fields, rules.schema["literal"]])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("sizes").to_pylist()
+            rows, found = [], []
+            for i, path in enumerate(batch.column("path")):
+                parts = path.as_py().split("/")
+                held = {p[a : a + n] for n in sizes[i] for p in parts for a in range(len(p) - n + 1)}
+                rows += [i] * len(held)
+                found += held
+                if len(rows) >= _ROWS:
+                    yield pieces(batch, rows, found)
+                    rows, found = [], []
+            yield pieces(batch, rows, found)
+
+    def pieces(batch: pa.RecordBatch, rows: list[int], found: list[str]) -> pa.RecordBatch:
+        at = pa.array(rows, pa.int64())
+        columns = [batch.column("repo").take(at), batch.column("path").take(at), pa.array(found, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return files.join(broadcast_if_small(sizes), "repo").select("repo", "path", "sizes").mapInArrow(cut, schema)
+
+
 def _glob_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(repo, path, ord, negated): of each file the last true glob of its repo that matches.
-    A repo's list is the content of its ignore files, so its globs stay few."""
-    listed = rules.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("ord", "negated", "regex")), asc=False).alias("globs"))
+    """(repo, path, ord, negated): of each file the true globs of its repo that match, the last
+    one at least. A glob meets only paths that hold its literal, by an equi-join. Globs of one
+    literal, or without any, are tried from the last to the first match."""
+    listed = rules.groupBy("repo", "literal").agg(F.sort_array(F.collect_list(F.struct("ord", "negated", "regex")), asc=False).alias("globs"))
     schema = T.StructType([*files.select("repo", "path").schema.fields, rules.schema["ord"], rules.schema["negated"]])
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled: dict[tuple[str, str], list] = {}
         for batch in batches:
             globs = batch.column("globs")
             rows, ords, negated = [], [], []
-            cache: tuple[object, list] = (None, [])
-            for i, path in enumerate(batch.column("path").to_pylist()):
-                repo = batch.column("repo")[i].as_py()
-                if cache[0] != repo:
-                    cache = repo, [(g["ord"], g["negated"], _pattern(g["regex"])) for g in globs[i].as_py()]
-                hit = next(((o, neg) for o, neg, regex in cache[1] if regex.match(path)), None)
+            of = zip(batch.column("repo").to_pylist(), batch.column("literal").to_pylist())
+            for i, (key, path) in enumerate(zip(of, batch.column("path").to_pylist())):
+                tried = compiled.get(key)
+                if tried is None:
+                    if len(compiled) >= _LISTS:
+                        compiled.clear()
+                    tried = compiled[key] = [(g["ord"], g["negated"], _pattern(g["regex"])) for g in globs[i].as_py()]
+                hit = next(((o, neg) for o, neg, regex in tried if regex.match(path)), None)
                 if hit:
                     rows.append(i)
                     ords.append(hit[0])
@@ -178,7 +222,8 @@ def _glob_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     out = [to_arrow_type(f.dataType) for f in schema.fields]
-    return files.join(broadcast_if_small(listed), "repo").select("repo", "path", "globs").mapInArrow(last, schema)
+    met = _literal_parts(files, rules).join(broadcast_if_small(listed), ["repo", "literal"])
+    return met.select("repo", "path", "literal", "globs").mapInArrow(last, schema)
 
 
 def last_rule(files: DataFrame, patterns: DataFrame, *, strict: bool = False) -> DataFrame:
@@ -202,7 +247,7 @@ def last_rule(files: DataFrame, patterns: DataFrame, *, strict: bool = False) ->
         keyed = known.select("repo", "path", F.explode(path_keys(F.col("path"), depths)).alias("key"))
         met = keyed.join(broadcast_if_small(staged(rule, "rule-keys")), ["repo", "key"])
         found.append(met.select("repo", "path", "rule.ord", "rule.negated"))
-    globs = rules.where("regex IS NOT NULL").select("repo", "ord", "negated", "regex")
+    globs = rules.where("regex IS NOT NULL").select("repo", "ord", "negated", "regex", "literal")
     if globs.head(1):
         found.append(_glob_matches(known, globs))
     if not found:
