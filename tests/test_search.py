@@ -192,3 +192,27 @@ def test_ordered_pairs_come_in_blocks_of_order(spark):
     docs = spark.createDataFrame([(i, f"Text {i} \U0001f600 of ab") for i in (9, 2, 5)] + [(4, None)], "doc_id long, text string").coalesce(1)
     got = [tuple(r) for r in postings.ordered_pairs(docs).collect()]
     assert got == sorted(got) and set(got) == {(r.gram, r.doc_id) for r in postings.gram_pairs(docs).collect()}
+
+
+def test_candidates_meet_a_document_as_one_list(spark, files, monkeypatch):
+    rows, stage = {}, search.staged
+
+    def counted(df, name):
+        out = stage(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(search, "staged", counted)
+    asked = [(1, "hello"), (2, "say"), (3, "HELLO "), (4, "two"), (5, "ell"), (6, "hello")]
+    table = spark.createDataFrame(asked, "query_id int, query string")
+    extra = spark.createDataFrame([(6, "r3", "z", None), (7, "r3", "y", "so: say hello\n")], files.schema)
+    every = files.unionByName(extra)
+
+    def found(method):
+        return sorted(map(tuple, search.search_many(every, table, method=method).collect()))
+
+    scanned = found("scan")
+    assert found("postings") == scanned and (2, "r3", "y", 1, "so: say hello") in scanned
+    assert rows["candidates"] == 5  # ids 0, 1, 2, 5 and 7, however many queries each may hold
+    monkeypatch.setattr(search, "NEEDLES", 2)
+    assert found("postings") == scanned and rows["candidates"] > 5
