@@ -202,6 +202,28 @@ def test_embedding_goes_back_to_its_rows(spark):
         df.select(short("text")).collect()
 
 
+def test_embedding_holds_the_strings_of_one_model_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from textquarry.functions.vectors import embedder
+
+    def model(texts):
+        if texts[0] == "":
+            raise RuntimeError("model down")
+        return np.array([[len(t), np.nan] for t in texts])
+
+    texts = pa.array([None, *(f"{i:05d}" * 2_000 for i in range(2_000))])
+    embed = embedder(lambda: model, batch=1, on_error="null").func
+    tracemalloc.start()
+    (got,) = embed(iter([texts]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [None, *[[10_000.0, None]] * 2_000]  # NaN of a model comes as null
+    assert peak < 5_000_000  # all texts as strings have 20 MB
+
+
 def test_a_failing_model_marks_its_documents(spark, store):
     index.index_repositories(store, table(spark, FIRST))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,8 @@ from .basics import ColumnOrName, col, let
 
 EmbedFn = Callable[[list[str]], np.ndarray]
 _WORD = re.compile(r"[a-z0-9_]+")
-_KNOWN_WORDS = 1 << 18
+_KNOWN_WORDS = 1 << 16
+_VECTORS = pa.list_(pa.float32())
 
 
 def norm(vector: ColumnOrName) -> Column:
@@ -93,34 +95,39 @@ def embedder(
 
     ``make`` runs once per Python worker and returns the model's batch function. Texts of
     an Arrow batch are taken in order of length, so that a padded model batch holds texts
-    of like size, and results go back to their own rows. With ``on_error="null"`` the texts
+    of like size, and results go back to their own rows. Only the texts of one model batch
+    are strings at a time. With ``on_error="null"`` the texts
     of a model batch that fails get no vector, and the rest goes on.
     """
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fn = make()
         for texts in parts:
-            values = texts.fillna("").tolist()
-            order = (
-                sorted(range(len(values)), key=lambda i: len(values[i]))
-                if sort_by_length
-                else range(len(values))
-            )
-            out: list[Sequence[float] | None] = [None] * len(values)
-            order = list(order)
+            order = np.arange(len(texts))
+            if sort_by_length:
+                lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+                order = np.argsort(lengths, kind="stable")
+            found = []
             for at in range(0, len(order), batch):
-                ids = order[at : at + batch]
-                try:
-                    vectors = fn([values[i] for i in ids])
-                    if len(vectors) != len(ids):
-                        raise ValueError("the embedding function must return one vector per text")
-                except Exception:
-                    if on_error != "null":
-                        raise
-                    continue
-                for i, v in zip(ids, vectors):
-                    out[i] = np.asarray(v, dtype="float32")
-            yield pd.Series(out)
+                found.append(_batch_vectors(fn, texts.take(pa.array(order[at : at + batch])), on_error))
+            back = np.empty(len(order), dtype="int64")
+            back[order] = np.arange(len(order))
+            yield pa.concat_arrays(found).take(pa.array(back)) if found else pa.array([], _VECTORS)
 
     return embed
+
+
+def _batch_vectors(fn: EmbedFn, texts: pa.Array, on_error: str) -> pa.Array:
+    """Vectors of one model batch, whose texts alone become strings."""
+    try:
+        vectors = fn(texts.fill_null("").to_pylist())
+        if len(vectors) != len(texts):
+            raise ValueError("the embedding function must return one vector per text")
+    except Exception:
+        if on_error != "null":
+            raise
+        return pa.nulls(len(texts), _VECTORS)
+    rows = [np.asarray(v, dtype="float32") for v in vectors]
+    ends = np.cumsum([0, *map(len, rows)]).astype("int32")
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows), from_pandas=True))
