@@ -1,3 +1,5 @@
+import tracemalloc
+
 import pytest
 
 from textquarry.operators import files as file_ops
@@ -117,6 +119,19 @@ def test_wide_characters_make_whole_grams(spark):
     assert {r.gram for r in postings.gram_pairs(df).collect()} == {"\U0001f600ab", "ab\U0001f601"}
 
 
+def test_long_texts_are_cut_into_grams_in_parts(monkeypatch):
+    text = "the quick brown f\u00f6x jumps \U0001f600 " * 40_000
+    tracemalloc.start()
+    postings._packed_grams(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(text)  # one array of the whole text's grams is as much
+    monkeypatch.setattr(postings, "_PART", 4)
+    texts = ["", "ab", "abc", "abcd", "abcde", "abcdef", "abcdefg", "h\u00e9\u4e2d\U0001f600\u0000\n\ud7ff" * 5, text[:99]]
+    want = [sorted({t[i : i + 3] for i in range(len(t) - 2)}) for t in texts]
+    assert [postings._gram_strings(postings._packed_grams(t)).to_pylist() for t in texts] == want
+
+
 # --- listing, reading, registry -----------------------------------------------------------------------
 
 

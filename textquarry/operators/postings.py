@@ -22,6 +22,7 @@ from .sizing import broadcast_if_small
 
 _FLUSH = 1 << 17  # gram rows per output batch
 _BLOCK = 1 << 20  # rows that a task groups or orders at a time
+_PART = 1 << 17  # characters of a text that are cut into grams at a time
 
 SEGMENTS = 64
 
@@ -30,17 +31,27 @@ def _gram_strings(keys: np.ndarray) -> pa.Array:
     """Packed grams (three 21-bit code points) to strings, each distinct gram built once."""
     uniq, where = np.unique(keys, return_inverse=True)
     mask = (1 << 21) - 1
-    points = np.stack([(uniq >> 42) & mask, (uniq >> 21) & mask, uniq & mask], axis=1)
-    flat = points.astype("<u4").tobytes().decode("utf-32-le")
-    names = pa.array([flat[i : i + 3] for i in range(0, len(flat), 3)], pa.string())
+    points = np.stack([(uniq >> 42) & mask, (uniq >> 21) & mask, uniq & mask], axis=1).astype("<u4")
+    widths = 3 + sum(np.count_nonzero(points >= least, axis=1) for least in (0x80, 0x800, 0x10000))
+    ends = np.append(0, np.cumsum(widths)).astype("int32")
+    flat = points.tobytes().decode("utf-32-le").encode()
+    names = pa.StringArray.from_buffers(len(uniq), pa.py_buffer(ends), pa.py_buffer(flat))
     return names.take(pa.array(where.astype("int32")))
 
 
 def _packed_grams(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype("int64")
-    if len(points) < 3:
-        return np.empty(0, dtype="int64")
-    return np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])
+    """Distinct grams of a text, packed and in order. A long text is cut in parts, so that the
+    arrays of a part and not of the text are held besides it."""
+    found, parts, held = np.empty(0, dtype="int64"), [], 0
+    for at in range(0, len(text) - 2, _PART):
+        points = np.frombuffer(text[at : at + _PART + 2].encode("utf-32-le"), dtype="<u4").astype("int64")
+        parts.append(np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:]))
+        held += len(parts[-1])
+        if held >= _PART + len(found):
+            found, parts, held = np.unique(np.concatenate([found, *parts])), [], 0
+    if len(parts) == 1 and not len(found):
+        return parts[0]
+    return np.unique(np.concatenate([found, *parts])) if parts else found
 
 
 def gram_sets(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
