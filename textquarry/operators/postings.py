@@ -39,19 +39,25 @@ def _gram_strings(keys: np.ndarray) -> pa.Array:
     return names.take(pa.array(where.astype("int32")))
 
 
+def _in_order(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in order, by one sort (``np.unique`` hashes them first)."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def _packed_grams(text: str) -> np.ndarray:
     """Distinct grams of a text, packed and in order. A long text is cut in parts, so that the
     arrays of a part and not of the text are held besides it."""
     found, parts, held = np.empty(0, dtype="int64"), [], 0
     for at in range(0, len(text) - 2, _PART):
         points = np.frombuffer(text[at : at + _PART + 2].encode("utf-32-le"), dtype="<u4").astype("int64")
-        parts.append(np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:]))
+        parts.append(_in_order((points[:-2] << 42) | (points[1:-1] << 21) | points[2:]))
         held += len(parts[-1])
         if held >= _PART + len(found):
-            found, parts, held = np.unique(np.concatenate([found, *parts])), [], 0
+            found, parts, held = _in_order(np.concatenate([found, *parts])), [], 0
     if len(parts) == 1 and not len(found):
         return parts[0]
-    return np.unique(np.concatenate([found, *parts])) if parts else found
+    return _in_order(np.concatenate([found, *parts]))
 
 
 def gram_sets(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
